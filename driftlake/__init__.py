@@ -1,0 +1 @@
+"""Calibrated novelty detection and retrospective validation on Spark DataFrames."""
