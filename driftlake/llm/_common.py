@@ -17,6 +17,27 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+class Kept(dict):
+    """What a worker has computed, in two generations of at most `most` entries: full, the older one goes.
+
+    `compute(key)` is called for keys in neither; keys longer than 64 are not kept.
+    """
+
+    def __init__(self, compute, most: int = 300_000):
+        self.compute, self.most, self.old = compute, most, {}
+
+    def __missing__(self, key):
+        out = self.old.get(key)
+        if out is None:
+            out = self.compute(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = out
+        return out
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

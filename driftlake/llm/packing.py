@@ -14,7 +14,9 @@ coarser islands.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from random import Random
@@ -24,15 +26,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, file_bytes
+from ._common import Kept, Scratch, file_bytes
 
-KEPT = 250_000
+assert sys.byteorder == "little" and array("I").itemsize == 4
 #: Two white-space characters in a row: such texts are cut by the full pattern.
 DOUBLE = re.compile(r"\s\s")
 ODD = re.compile(r"[^\S \n]")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
+def byte_characters() -> dict[int, str]:
+    """The byte-level vocabulary's character for each byte: itself if printable, else the next one from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, by the library's model.
 
@@ -44,49 +53,39 @@ class Encoder:
     def __init__(self, tokenizer):
         import regex
 
-        self.tokenizer = tokenizer
-        self.parts: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.tokenizer, self.merge, self.characters = tokenizer, tokenizer.model.tokenize, byte_characters()
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         self.special = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
+        self.pieces = Kept(self.piece)
+        self.firsts = Kept(self.part)
+        self.rest = Kept(self.spaced)  # by the part without its blank
+        self.line_end = self.part("\n")
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def piece(self, piece: str) -> bytes:
-        out = self.pieces.get(piece)
-        if out is None:
-            out = self.ids(piece)
-            if len(piece) <= 64:
-                if len(self.pieces) > KEPT:
-                    self.pieces.clear()
-                self.pieces[piece] = out
-        return out
+        mapped = piece.replace(" ", "\u0120") if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.characters)
+        return array("I", [t.id for t in self.merge(mapped)]).tobytes()
 
     def part(self, part: str) -> bytes:
-        out = self.parts.get(part)
-        if out is None:
-            out = b"".join(map(self.piece, self.cut(part)))
-            if len(part) <= 64:
-                self.parts[part] = out
-        return out
+        return b"".join(map(self.pieces.__getitem__, self.cut(part)))
+
+    def spaced(self, part: str) -> bytes:
+        if part.isascii() and part.isalpha():
+            return self.pieces[" " + part]
+        return self.part(" " + part)
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if any(x in text for x in self.special) or DOUBLE.search(text) or ODD.search(text):
             return self.ids(text)
-        if len(self.parts) > KEPT:
-            self.parts.clear()
-        out, part = [], self.part
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append(part("\n"))
-            first, *rest = line.split(" ")
-            if first:
-                out.append(part(first))
-            out += [part(" " + x) for x in rest]
-        return b"".join(out)
+        out, first_of, rest_of = [], self.firsts.__getitem__, self.rest.__getitem__
+        for line in text.split("\n"):
+            first, blank, rest = line.partition(" ")
+            out.append((first_of(first) if first else b"") + (b"".join(map(rest_of, rest.split(" "))) if blank else b""))
+        return self.line_end.join(out)
 
 
 _ENCODERS: dict[int, Encoder] = {}
