@@ -64,8 +64,8 @@ def thresholds(rows: DataFrame, goals: DataFrame, scratch: Scratch) -> DataFrame
         sums = histogram.withColumn("before", F.coalesce(F.sum("words").over(by), F.lit(0)))
         sums = sums.withColumnRenamed("source", "s").drop("low")
         # the bucket in which the budget ends; none: all of the open bucket is taken
-        at = state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left").where(F.col("done") | F.col("s").isNull() | ((F.col("before") <= F.col("left")) & (F.col("left") < F.col("before") + F.col("words"))))
-        keep = F.col("done") | F.col("s").isNull()
+        at = state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left").where(F.col("done") | F.col("bucket").isNull() | ((F.col("before") <= F.col("left")) & (F.col("left") < F.col("before") + F.col("words"))))
+        keep = F.col("done") | F.col("bucket").isNull()
         single = F.col("first") == F.col("last")
         # one hash value is left: it goes in if that brings the sum nearer to the budget
         closed = F.col("first") + F.when(F.col("left") - F.col("before") >= F.col("words") / 2, 1).otherwise(0)
