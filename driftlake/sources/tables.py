@@ -38,7 +38,7 @@ def read_metadata(spark: SparkSession, path: str, columns: list[str]) -> DataFra
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for data in batch["content"]:
-                with tarfile.open(fileobj=io.BytesIO(data), mode="r|gz") as tar:
+                with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz") as tar:
                     member = next(m for m in tar if m.name.endswith(".tsv"))
                     for part in pd.read_csv(tar.extractfile(member), sep="\t", usecols=columns, dtype=str, keep_default_na=False, chunksize=100_000):
                         yield part[columns]
