@@ -128,8 +128,8 @@ def document_frequencies(docs: DataFrame, templates, text: str) -> tuple[dict[st
     return df, df.pop("", 0)
 
 
-def scan(docs: DataFrame, path: str = "path", text: str = "text", templates=TEMPLATES, least: float = 0.75) -> DataFrame:
-    """docs with a struct __license: license (null: none), how (header, file, inherited, none), similarity, evidence, directory (of the inherited one).
+def scan(docs: DataFrame, path: str = "path", text: str = "text", templates=TEMPLATES, least: float = 0.75, columns: list[str] | None = None) -> DataFrame:
+    """The columns of docs (or those named) with a struct __license: license (null: none), how (header, file, inherited, none), similarity, evidence, directory (of the inherited one).
 
     A null text counts as empty; a null path has no directory, so such rows
     inherit nothing. Where a directory has several license files, the license
@@ -146,8 +146,9 @@ def scan(docs: DataFrame, path: str = "path", text: str = "text", templates=TEMP
 
     directory = F.regexp_replace(F.regexp_extract(F.col(path), r"^(.*)/[^/]*$", 1), "/+$", "")
     base = F.regexp_extract(F.col(path), r"([^/]*)$", 1)
+    columns = [c for c in (columns or docs.columns) if c != "__license"]
     own = docs.withColumn("__own", match(F.coalesce(F.col(text), F.lit("")))).withColumn("__dir", F.when(F.col(path).isNotNull(), directory)).withColumn("__base", base)
-    own = Scratch(docs.sparkSession, "license").write(own)
+    own = Scratch(docs.sparkSession, "license").write(own.select(*[F.col(f"`{c}`") for c in columns], "__own", "__dir", "__base"))
     is_file = F.col("__base").rlike(LICENSE_FILE)
     given = own.where(is_file & F.col("__own.license").isNotNull() & F.col("__dir").isNotNull()).groupBy(F.col("__dir").alias("top")).agg(F.min(F.struct("__base", "__own.license")).alias("f")).select("top", F.col("f.license").alias("given"))
     # every directory once, with all prefixes of its path
@@ -159,7 +160,7 @@ def scan(docs: DataFrame, path: str = "path", text: str = "text", templates=TEMP
     both = own.join(nearest, (F.col("__dir") == F.col("d")) & F.col("__own.license").isNull(), "left")
     how = F.when(F.col("__own.license").isNotNull(), F.when(is_file, "file").otherwise("header")).when(F.col("__near").isNotNull(), "inherited").otherwise("none")
     result = F.struct(F.coalesce("__own.license", "__near.given").alias("license"), how.alias("how"), F.col("__own.similarity").alias("similarity"), F.col("__own.evidence").alias("evidence"), F.when(F.col("__own.license").isNull(), F.col("__near.top")).alias("directory"))
-    return both.withColumn("__license", result).select(*[F.col(f"`{c}`") for c in docs.columns if c != "__license"], "__license")
+    return both.withColumn("__license", result).select(*[F.col(f"`{c}`") for c in columns], "__license")
 
 
 def license_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **args) -> DataFrame:
@@ -172,4 +173,4 @@ def license_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     file = F.when(F.col(doc_id) % 50 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col(doc_id).cast("string"), F.lit(".txt")))
     path = F.concat_ws("/", F.coalesce(F.col(source), F.lit("none")), F.floor(F.col(doc_id) / 1000).cast("string"), F.floor(F.col(doc_id) / 50).cast("string"), file)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.when(F.col(doc_id).isNotNull(), path).alias("path"), F.col(text).alias("text"))
-    return scan(slim, **args).select("doc_id", "path", "__license.*")
+    return scan(slim, columns=["doc_id", "path"], **args).select("doc_id", "path", "__license.*")
