@@ -14,7 +14,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 def spark(tmp_path_factory):
     from driftlake.session import local_session
 
-    s = local_session(4, "4g", **{"spark.sql.shuffle.partitions": "4", "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}"})
+    s = local_session(int(os.environ.get("TEST_CPUS", "4")), "4g", **{"spark.sql.shuffle.partitions": "4", "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
