@@ -52,6 +52,20 @@ class Runs:
             self.levels[level] = []
             level += 1
 
+    def admit(self, lines: DataFrame) -> DataFrame:
+        """The rows of a batch whose key no earlier batch had (an anti join with every run); the batch's own run is added.
+
+        For a stream that keeps first occurrences. Which of a batch's rows with
+        the same key is first is for the caller to say.
+        """
+        runs = [run for level in self.levels for run in level]
+        fresh = lines
+        for run in runs:
+            fresh = fresh.join(run.select(*HASH), list(HASH), "left_anti")
+        fresh = self.scratch.write(fresh)
+        self.add(lines)
+        return fresh
+
     def merge(self, runs: list[DataFrame]) -> DataFrame:
         rows = runs[0]
         for run in runs[1:]:

@@ -118,6 +118,18 @@ def test_runs_are_compacted(spark):
     assert [tuple(r) for r in runs.seen(5).collect()] == [(1, 1)]
 
 
+def test_batches_of_a_stream(spark):
+    from driftlake.llm._common import Scratch
+
+    runs = line_dedup.Runs(Scratch(spark, "t"), fan_out=2)
+    seen = set()
+    for k in range(4):
+        batch = [(x, 0) for x in range(k, k + 3)] + [(k, 0)]
+        got = [r["h1"] for r in runs.admit(spark.createDataFrame(batch, "h1 long, h2 long")).collect()]
+        assert sorted(got) == sorted(x for x, _ in batch if x not in seen)
+        seen |= {x for x, _ in batch}
+
+
 def test_main_paths_are_native(unique):
     for df in (mixing.taken(unique), line_dedup.line_report(unique), mixing.mixed(unique)):
         plan = df._jdf.queryExecution().toString()
