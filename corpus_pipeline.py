@@ -23,9 +23,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents share go; a document that loses all its lines, and had any, goes too."""
-    found = line_dedup.dedup_lines(docs).where((F.col("__lines.n_dropped") == 0) | (F.col("text") != ""))
-    return found.withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
+    """Lines that ten documents share go, in every document; no document does, even if nothing of it is left."""
+    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
