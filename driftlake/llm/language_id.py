@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEPT = 250_000
+KEPT, CHUNK = 250_000, 2 << 20
 #: Multiplier of the n-gram hash, odd.
 STEP = np.uint64(0x9E3779B97F4A7C15)
 EDGE = 0x110000
@@ -160,11 +160,12 @@ class Scorer(dict):
             return
         runs = [letter_runs(t.decode()) for t in self.new]
         sums, sizes = np.zeros((len(runs), len(self.models.langs))), np.zeros(len(runs), np.int64)
-        if flat := [r for own in runs for r in own]:
-            at = np.repeat(np.arange(len(runs)), [len(own) for own in runs])
-            total, size = self.models.words(flat)
-            np.add.at(sums, at, total)
-            np.add.at(sizes, at, size)
+        flat = [r for own in runs for r in own]
+        owner = np.repeat(np.arange(len(runs)), [len(own) for own in runs])
+        for k in range(0, len(flat), 10_000):  # some at a time bounds the arrays
+            total, size = self.models.words(flat[k : k + 10_000])
+            np.add.at(sums, owner[k : k + 10_000], total)
+            np.add.at(sizes, owner[k : k + 10_000], size)
         # room for more, so that growing costs little
         self.table, self.sizes = np.concatenate([self.table, sums]), np.concatenate([self.sizes, sizes])
         self.new = []
@@ -206,7 +207,8 @@ def _udf(kept) -> object:
             _SCORERS.clear()
             _SCORERS[key] = Scorer(models)
         for texts in batches:
-            yield _SCORERS[key].label(texts.tolist())
+            part = texts.str.len().cumsum() // CHUNK
+            yield pd.concat([_SCORERS[key].label(own.tolist()) for _, own in texts.groupby(part.to_numpy(), sort=True)] or [_SCORERS[key].label([])], ignore_index=True)
 
     return run
 
