@@ -297,7 +297,7 @@ SELECT {g} {r} AS auroc, CAST(sum(p) AS BIGINT) AS n_pos, CAST(sum(n - p) AS BIG
   FROM (SELECT {g} novelty, count(*) AS n, sum(is_positive::INT) AS p FROM {t} GROUP BY {g} novelty)) {group}
 """
 RANKSUM = "(sum(rk * p) - sum(p)::DOUBLE * (sum(p) + 1) / 2) / nullif(sum(p)::DOUBLE * sum(n - p), 0)"
-EDGES = "[" + ", ".join(repr(x) for x in ev.edges(10)) + "]"
+EDGES = "[" + ", ".join(f"{x!r}::DOUBLE" for x in ev.edges(10)) + "]"
 BIN = f"(SELECT min(b) FROM range(0, 10) t(b) WHERE novelty <= {EDGES}[b + 2] AND (novelty > {EDGES}[b + 1] OR (b = 0 AND novelty >= 0)))"
 HELD = BASE + f"""
 lp AS (SELECT q.vec_id AS id, r.vec_id AS ref, q.label AS own, r.label AS other, 1 - list_inner_product(q.u, r.u) AS d FROM u q JOIN u r ON q.label < 5 AND r.label < 5 AND q.vec_id <> r.vec_id),
@@ -338,7 +338,7 @@ fit AS (SELECT u, 2 - a0 / (a0 - 2 * a1) AS shape, 2 * a0 * a1 / (a0 - 2 * a1) A
     "lift_curve": _sql(NINE + "o AS (SELECT is_positive::INT AS hit, row_number() OVER (ORDER BY novelty DESC, id) AS rk FROM s9), c AS (SELECT rk, avg(hit) OVER (ORDER BY rk) AS p FROM o),", f"SELECT rk AS k, {r('p')} AS precision, {r('p / nullif((SELECT avg(is_positive::INT) FROM s9), 0)')} AS lift FROM c WHERE rk <= 100"),
     "auroc": _sql(NINE, AUC.format(g="", r=r(RANKSUM), by="", t="s9", group="")),
     "calibration_bins": _sql(NINE + f"cb AS (SELECT {BIN} AS bin, is_positive FROM s9),", f"SELECT bin, {r(f'any_value({EDGES}[bin + 1])')} AS bin_lo, {r(f'any_value({EDGES}[bin + 2])')} AS bin_hi, {r('avg(is_positive::INT)')} AS observed, count(*) AS n FROM cb WHERE bin IS NOT NULL GROUP BY bin"),
-    "roc_curve": _sql(NINE, f"SELECT k, {r(f'any_value(k * {1.0 / 199!r})')} AS threshold, {r(f'count(*) FILTER (is_positive AND novelty >= k * {1.0 / 199!r})::DOUBLE / count(*) FILTER (is_positive)')} AS tpr, {r(f'count(*) FILTER (NOT is_positive AND novelty >= k * {1.0 / 199!r})::DOUBLE / count(*) FILTER (NOT is_positive)')} AS fpr FROM s9, range(0, 200) t(k) GROUP BY k"),
+    "roc_curve": _sql(NINE, f"SELECT k, {r(f'any_value(k * {1.0 / 199!r}::DOUBLE)')} AS threshold, {r(f'count(*) FILTER (is_positive AND novelty >= k * {1.0 / 199!r}::DOUBLE)::DOUBLE / count(*) FILTER (is_positive)')} AS tpr, {r(f'count(*) FILTER (NOT is_positive AND novelty >= k * {1.0 / 199!r}::DOUBLE)::DOUBLE / count(*) FILTER (NOT is_positive)')} AS fpr FROM s9, range(0, 200) t(k) GROUP BY k"),
     "score_histogram": _sql(BASE + KNN + """
 h AS (SELECT is_positive, round(distance, 9) AS s FROM qd),
 sp AS (SELECT is_positive, min(s) AS lo, (max(s) - min(s)) / 30 AS w, count(*) AS total FROM h GROUP BY is_positive),
