@@ -31,7 +31,7 @@ from ._common import ASCII_LOWER, Scratch, crc_mod
 
 #: The end of a text, which no word can be, and the hash of a start.
 END, START = b"\n", np.uint64(0x5151515151515151)
-KEPT, CHUNK, LEVELS, PROBES, BITS = 250_000, 4 << 20, 96, 5, 8.7
+KEPT, CHUNK, LEVELS, PROBES, BITS = 150_000, 2 << 20, 96, 5, 8.7
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -293,7 +293,7 @@ def score(docs: DataFrame, most_frequent: int = 200_000, longest: int = 64, most
             for part in chunks(batch):
                 held.append(neighbours(words.rows([tokens(x) for x in part["text"]]), words)[2])
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > 1_500_000:
                     yield pd.DataFrame(list(runs_of(np.concatenate(held), ranges)), columns=["range", "keys", "counts", "n"])
                     held, size = [], 0
         if held:
