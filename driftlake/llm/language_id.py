@@ -210,7 +210,7 @@ def _udf(kept) -> object:
             part = texts.str.len().cumsum() // CHUNK
             yield pd.concat([_SCORERS[key].label(own.tolist()) for _, own in texts.groupby(part.to_numpy(), sort=True)] or [_SCORERS[key].label([])], ignore_index=True)
 
-    return run
+    return run.asNondeterministic()  # else a filter on the result is pushed below it, and it runs twice
 
 
 def sample(docs: DataFrame, most_chars: int, longest: int, doc_id: str, text: str, lang: str) -> DataFrame:
