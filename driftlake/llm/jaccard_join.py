@@ -100,13 +100,13 @@ def _pieces(width: int, ranges: int):
         from pyspark import TaskContext
 
         hashes = WordHashes()
-        number = TaskContext.get().partitionId() << 24
+        number = TaskContext.get().partitionId() << 14
         docs, sets, size = [], [], 0
         for batch in batches:
             for d, x in zip(batch["doc_id"], batch["text"], strict=True):
                 docs.append(d)
                 sets.append(shingles(x, width, hashes))
-                size += len(x or "")
+                size += len(x or "") + 16
                 if size > CHUNK:
                     yield emit(number, docs, sets)
                     docs, sets, size, number = [], [], 0, number + 1
@@ -180,7 +180,7 @@ def _first_shingles(percent: int, ranges: int):
         rank = np.arange(len(idx)) - start[idx]
         keep = rank < need[idx]
         at = idx[keep]
-        return pd.DataFrame({"node": (int(key[0]) << 24) + at, "key": keys[keep], "n": n[at], "h1": docs["h1"].to_numpy()[at], "h2": docs["h2"].to_numpy()[at]})
+        return pd.DataFrame({"node": (int(key[0]) << 20) + at, "key": keys[keep], "n": n[at], "h1": docs["h1"].to_numpy()[at], "h2": docs["h2"].to_numpy()[at]})
 
     return run
 
@@ -257,6 +257,44 @@ def link(sets: list[np.ndarray], percent: int = 80, block: int = 64) -> np.ndarr
     return label
 
 
+def _sets_of(docs: DataFrame, wanted: DataFrame, width: int, doc_id: str, text: str, most_bits: int = 1 << 31) -> DataFrame:
+    """wanted (doc_id, node, h1, h2, tasks) with data: the sets, made anew from the texts.
+
+    A bit for each hash of a wanted doc_id tells workers which texts to make sets
+    of, so that only these sets are moved. It is 16 times as many bits as rows;
+    where that is more than `most_bits`, texts are joined to their rows instead.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    bits = 1 << max(16, (16 * wanted.count()).bit_length())
+    place = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(bits))
+    told = None
+    if bits <= most_bits:
+        bit = F.expr("shiftleft(1L, cast(p % 64 as int))")
+        words = wanted.select(place("doc_id").alias("p")).groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(bit).alias("b")).toPandas()
+        field = np.zeros(bits // 64, np.int64)
+        field[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+        told = spark.sparkContext.broadcast(field)
+    else:
+        texts = texts.join(wanted.select("doc_id"), F.col("__id").eqNullSafe(F.col("doc_id")), "left_semi")
+
+    def read_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for batch in batches:
+            if told is not None:
+                p = batch["p"].to_numpy(np.int64)
+                batch = batch[(told.value[p >> 6] >> (p & 63)) & 1 == 1]
+            out = []
+            for d, x in zip(batch["id"], batch["text"], strict=True):
+                s = shingles(x, width, hashes)
+                out.append((d, *set_hash(s), s.astype("<u8").tobytes()))
+            yield pd.DataFrame(out, columns=["id", "g1", "g2", "data"])
+
+    made = texts.select(F.col("__id").cast("string").alias("id"), place("__id").alias("p"), "text").mapInPandas(read_sets, "id string, g1 long, g2 long, data binary")
+    same = F.col("doc_id").cast("string").eqNullSafe(F.col("id")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
+    return wanted.join(made, same)
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, most_in_task: int = 8_000_000, in_range: int = 2_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
@@ -272,7 +310,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, most_
     words = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     ranges = 1 << max(4, int(words / 6 / in_range).bit_length())
     parts = scratch.write(slim.mapInPandas(_pieces(width, ranges), PARTS), "kind")
-    rows = parts.where("kind = 0").select((F.shiftleft("run", 24) + F.col("idx")).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), "n", "h1", "h2")
+    rows = parts.where("kind = 0").select((F.shiftleft("run", 20) + F.col("idx")).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), "n", "h1", "h2")
     names = [c.split()[0] for c in PARTS.split(", ")]
     back = parts.where("kind = 1").select(*names).groupBy("range").applyInPandas(_answers, PARTS)
     first = parts.where("kind <> 1").select(*names).unionByName(back).groupBy("run").applyInPandas(_first_shingles(percent, ranges), FIRST)
@@ -296,21 +334,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, most_
 
     wanted = dealt.join(rows.select("node", "doc_id"), "node").groupBy("doc_id", "node", "h1", "h2").agg(F.collect_set("task").alias("tasks"))
     wanted = scratch.write(wanted)
-
-    def read_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for batch in batches:
-            out = []
-            for node, h1, h2, where, x in zip(batch["node"], batch["h1"], batch["h2"], batch["tasks"], batch["text"], strict=True):
-                s = shingles(x, width, hashes)
-                if set_hash(s) == (h1, h2):
-                    data = s.astype("<u8").tobytes()
-                    out += [(t["g"], t["i"], t["j"], node, data) for t in (w if isinstance(w, dict) else w.asDict() for w in where)]
-            if out:
-                yield pd.DataFrame(out, columns=["g", "i", "j", "node", "data"])
-
-    texts = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sets = wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "h1", "h2", "tasks", "text").mapInPandas(read_sets, "g long, i int, j int, node long, data binary")
+    sets = _sets_of(docs, wanted, width, doc_id, text).select("node", "data", F.inline("tasks"))
 
     def find_links(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("node").sort_values("node")
