@@ -2,10 +2,11 @@
 
 1. Each text's set of shingle hashes is made; equal sets are one class from here on.
    A task sends its shingles as packed, sorted runs by hash range.
-2. Each range counts in how many sets a shingle occurs and answers every run
-   with the shingles that occur more than once. A shingle that is common within
+2. Half of the shingles, told by a bit of their hash, suffice; only a set with too
+   few of these sends others too. Each range counts in how many sets a shingle
+   occurs and answers every run with those that occur more than once. A shingle that is common within
    one run is sent as one entry with a count, so no shingle floods its range.
-3. With rare shingles first, two similar sets share one of their first shingles.
+3. With this half first, and rare before common, two similar sets share one of their first shingles.
    Sets whose first shingles occur nowhere else are done. The others, with their
    first shared shingles, fall into candidate groups (components by shared shingle).
 4. Within a group an inverted index is probed set by set, by rising size. Blocks
@@ -69,12 +70,36 @@ def set_hash(keys: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _pieces(width: int, ranges: int):
+def _least(n, percent: int):
+    """Of a set of n shingles, how many a similar set can lack, and one."""
+    return n - (percent * n + 99) // 100 + 1
+
+
+def _short(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """The part of a hash by which shingles are counted: its range, and 32 bits more."""
+    bits = np.uint64(ranges.bit_length() - 1)
+    return range_of(keys, ranges) << 32 | ((keys << bits) >> np.uint64(32)).astype(np.int64)
+
+
+def _sent(keys: np.ndarray, percent: int, ranges: int) -> np.ndarray:
+    """The shingles that a set is told by: the even short hashes, and, where these are fewer than its first shingles, as many odd ones as are missing, smallest first.
+
+    In the order of all shingles the even ones come first, rare before common,
+    then the odd ones by their value; so what is sent holds the first shingles.
+    """
+    odd = _short(keys, ranges) & 1 == 1
+    more = max(0, int(_least(len(keys), percent)) - int((~odd).sum()))
+    return np.sort(np.concatenate([keys[~odd], keys[odd][:more]])) if more else keys[~odd]
+
+
+def _pieces(width: int, percent: int, ranges: int):
     bits = np.uint64(ranges.bit_length() - 1)
 
     def emit(run: int, docs: list[tuple], sets: list[np.ndarray]) -> pd.DataFrame:
-        rows = [(0, run, -1, i, d, len(s), *set_hash(s), None, None, None) for i, (d, s) in enumerate(zip(docs, sets, strict=True))]
-        keys, idx = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        sent = [_sent(s, percent, ranges) for s in sets]
+        # a set's row tells in `range` how many even hashes it has
+        rows = [(0, run, int((_short(s, ranges) & 1 == 0).sum()), i, d, len(s), *set_hash(s), None, None, None) for i, (d, s) in enumerate(zip(docs, sets, strict=True))]
+        keys, idx = np.concatenate(sent), np.repeat(np.arange(len(sent)), [len(s) for s in sent])
         order = np.argsort(keys, kind="stable")
         keys, idx = keys[order], idx[order]
         if len(keys):
@@ -118,8 +143,8 @@ def _pieces(width: int, ranges: int):
 
 def _answers(key, runs: pd.DataFrame) -> pd.DataFrame:
     """For each run of a hash range: its shingles that more than one set has, and how many."""
-    fine = [np.cumsum(unpacked(x).astype(np.int64)) for x in runs["keys"]]
-    what = [unpacked(x).astype(np.int64) for x in runs["docs"]]
+    fine = [np.cumsum(unpacked(x), dtype=np.uint32) for x in runs["keys"]]
+    what = [unpacked(x) for x in runs["docs"]]
     all_fine, all_what = np.concatenate(fine), np.concatenate(what)
     keys, inverse = np.unique(all_fine, return_inverse=True)
     df = np.bincount(inverse, np.where(all_what & FLAG, all_what & (FLAG - 1), 1)).astype(np.int64)
@@ -129,7 +154,7 @@ def _answers(key, runs: pd.DataFrame) -> pd.DataFrame:
         at += len(f)
         keep = n > 1
         if keep.any():
-            rows.append((1, int(run), int(key[0]), -1, None, int(keep.sum()), 0, 0, packed(np.diff(f[keep], prepend=0)), packed(w[keep]), packed(np.minimum(n[keep], (1 << 32) - 1))))
+            rows.append((1, int(run), int(key[0]), -1, None, int(keep.sum()), 0, 0, packed(np.diff(f[keep].astype(np.int64), prepend=0)), packed(w[keep]), packed(np.minimum(n[keep], (1 << 32) - 1))))
     return pd.DataFrame(rows, columns=[c.split()[0] for c in PARTS.split(", ")])
 
 
@@ -137,8 +162,6 @@ FIRST = "node long, key long, n long, h1 long, h2 long"
 
 
 def _first_shingles(percent: int, ranges: int):
-    bits = np.uint64(ranges.bit_length() - 1)
-
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         """Of each set whose first shingles other sets have too: these shingles."""
         docs = rows[rows["kind"] == 0].sort_values("idx")
@@ -148,8 +171,7 @@ def _first_shingles(percent: int, ranges: int):
         spread: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for k, d in zip(own["keys"], own["docs"], strict=True):
             full = np.frombuffer(k, "<u8")
-            short = range_of(full, ranges).astype(np.int64) << 32 | ((full << bits) >> np.uint64(32)).astype(np.int64)
-            spread[0] = (short, unpacked(d).astype(np.int64))
+            spread[0] = (_short(full, ranges), unpacked(d).astype(np.int64))
         for r, k, w, c in zip(back["range"], back["keys"], back["docs"], back["counts"], strict=True):
             short = (int(r) << 32) + np.cumsum(unpacked(k).astype(np.int64))
             what, count = unpacked(w).astype(np.int64), unpacked(c).astype(np.int64)
@@ -170,15 +192,16 @@ def _first_shingles(percent: int, ranges: int):
         if not parts[0] or docs.empty:
             return pd.DataFrame(columns=columns)
         keys, idx, df = (np.concatenate(parts[k]) for k in range(3))
-        order = np.lexsort((keys, df, idx))
-        keys, idx = keys[order], idx[order]
-        n = docs["n"].to_numpy(np.int64)
-        shared = np.bincount(idx, minlength=len(n))
-        start = np.cumsum(shared) - shared
-        # rarer than any: the shingles that no other set has
-        need = (n - (percent * n + 99) // 100 + 1) - (n - shared)
-        rank = np.arange(len(idx)) - start[idx]
-        keep = rank < need[idx]
+        odd = keys & 1
+        order = np.lexsort((keys, np.where(odd, 0, df), odd, idx))
+        keys, idx, odd = keys[order], idx[order], odd[order]
+        n, even = docs["n"].to_numpy(np.int64), docs["range"].to_numpy(np.int64)
+        shared = np.bincount(idx, 1 - odd, minlength=len(n)).astype(np.int64)
+        own = np.bincount(idx, minlength=len(n))
+        # before these come the even ones that no other set has; odd ones are sent only if they are among the first
+        need = _least(n, percent) - (even - shared)
+        rank = np.arange(len(idx)) - (np.cumsum(own) - own)[idx]
+        keep = (odd == 1) | (rank < need[idx])
         at = idx[keep]
         return pd.DataFrame({"node": (int(key[0]) << 20) + at, "key": keys[keep], "n": n[at], "h1": docs["h1"].to_numpy()[at], "h2": docs["h2"].to_numpy()[at]})
 
@@ -295,7 +318,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int, doc_id: str, text:
     return wanted.join(made, same)
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, most_in_task: int = 8_000_000, in_range: int = 2_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, most_in_task: int = 8_000_000, in_range: int = 4_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
     A component is what links reach; a link is 100 * intersection >= percent *
@@ -309,10 +332,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, most_
     slim = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     words = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     ranges = 1 << max(4, int(words / 6 / in_range).bit_length())
-    parts = scratch.write(slim.mapInPandas(_pieces(width, ranges), PARTS), "kind")
+    parts = scratch.write(slim.mapInPandas(_pieces(width, percent, ranges), PARTS), "kind")
     rows = parts.where("kind = 0").select((F.shiftleft("run", 20) + F.col("idx")).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), "n", "h1", "h2")
     names = [c.split()[0] for c in PARTS.split(", ")]
     back = parts.where("kind = 1").select(*names).groupBy("range").applyInPandas(_answers, PARTS)
+    back = scratch.write(back)
     first = parts.where("kind <> 1").select(*names).unionByName(back).groupBy("run").applyInPandas(_first_shingles(percent, ranges), FIRST)
     # equal sets have equal first shingles, so the smallest node stands for them everywhere
     first = scratch.write(first.groupBy("key", "n", "h1", "h2").agg(F.min("node").alias("node")))
