@@ -3,8 +3,8 @@
 1. Words are counted over all training documents, exactly.
 2. Word pairs are counted as 64-bit hashes: each task sorts and sums its own and
    sends them as packed runs by hash range; each range is merged by itself.
-3. A pair seen c >= 2 times has a level of about 2 log2(c); the filter holds the
-   pair with each number from 1 to its level. Every hash range has a block of
+3. A pair seen c times has a level of about 2 log2(c), 1 at least; the filter holds
+   the pair with each number from 1 to its level. Every hash range has a block of
    its own, so blocks are made in parallel. Words below the most frequent have a
    filter alike.
 4. Workers hold the blocks and probe a pair with 1, 2, ... until one is missing.
@@ -54,24 +54,28 @@ def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def level_of(count: np.ndarray) -> np.ndarray:
-    return np.minimum(1 + np.floor(2 * np.log2(count) + 1e-9), LEVELS).astype(np.int64)
+    return np.clip(np.floor(2 * np.log2(count) + 1e-9), 1, LEVELS).astype(np.int64)
 
 
 def count_of() -> np.ndarray:
     """For each level, the mean of the whole numbers that have it (0: none)."""
-    out = [0.0]
-    for level in range(1, LEVELS + 1):
-        low, high = math.ceil(2 ** ((level - 1) / 2) - 1e-9), math.ceil(2 ** (level / 2) - 1e-9) - 1
+    out = [0.0, 1.0]
+    for level in range(2, LEVELS + 1):
+        low, high = math.ceil(2 ** (level / 2) - 1e-9), math.ceil(2 ** ((level + 1) / 2) - 1e-9) - 1
         out.append((low + high) / 2 if high >= low else float(low))
     return np.array(out)
 
 
-def positions(keys: np.ndarray, level: int, bits: np.ndarray) -> Iterator[np.ndarray]:
+def places(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
-        x = mix(keys + np.uint64(level) * np.uint64(0xD6E8FEB86659FD93))
-        step = mix(x) | np.uint64(1)
-        for k in range(PROBES):
-            yield (x + np.uint64(k) * step) % bits
+        x = mix(keys + np.uint64(level * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+        return x, mix(x) | np.uint64(1)
+
+
+def positions(keys: np.ndarray, level: int, bits: np.uint64) -> Iterator[np.ndarray]:
+    x, step = places(keys, level)
+    for k in range(PROBES):
+        yield (x + np.uint64(k) * step) % bits
 
 
 def make_block(keys: np.ndarray, levels: np.ndarray, first: int) -> np.ndarray:
@@ -104,23 +108,27 @@ class Blocks:
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key: the last number before one that is missing."""
+        keys, back = np.unique(keys, return_inverse=True)
         out = np.zeros(len(keys), np.int64)
-        left = np.arange(len(keys))
         own = self.range_of(keys)
-        left = left[self.bits[own] > 0]
+        left = np.flatnonzero(self.bits[own] > 0)
+        k, base, bits = self.within(keys[left]), self.start[own[left]], self.bits[own[left]]
         level = self.first
-        while len(left):
-            k, base, bits = keys[left], self.start[own[left]], self.bits[own[left]]
-            there = np.ones(len(left), bool)
-            for at in positions(k, level, bits):
-                at = at.astype(np.int64)
-                there &= (self.data[base + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
-            left = left[there]
+        while len(left) and level <= LEVELS:
+            there = np.arange(len(left))
+            x, step = places(k, level)
+            for n in range(PROBES):
+                at = ((x + np.uint64(n) * step) % bits[there]).astype(np.int64)
+                found = (self.data[base[there] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
+                there, x, step = there[found], x[found], step[found]
+            left, k, base, bits = left[there], k[there], base[there], bits[there]
             out[left] = level
             level += 1
-            if level > LEVELS:
-                break
-        return out
+        return out[back]
+
+    def within(self, keys: np.ndarray) -> np.ndarray:
+        """What the filters hold of a key."""
+        return keys
 
 
 def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -244,7 +252,7 @@ def score(docs: DataFrame, most_frequent: int = 200_000, longest: int = 64, most
     counts = scratch.write(train.select("text").mapInPandas(count_words, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c")))
     # how many words have which frequency: at most some hundred rows
     eighth = F.floor(8 * F.log2("c")).cast("int")
-    by_rate = counts.groupBy(eighth.alias("r")).agg(F.count("*").alias("words"), F.sum("c").alias("c"), F.min("c").alias("least"), F.sum(F.floor(2 * F.log2("c")) + 1).alias("levels")).orderBy(F.desc("r")).collect()
+    by_rate = counts.groupBy(eighth.alias("r")).agg(F.count("*").alias("words"), F.sum("c").alias("c"), F.min("c").alias("least"), F.sum(F.greatest(F.lit(1), F.floor(2 * F.log2("c")))).alias("levels")).orderBy(F.desc("r")).collect()
     total, different = sum(r["c"] for r in by_rate), sum(r["words"] for r in by_rate)
     least, n = float("inf"), 0
     for r in by_rate:
@@ -308,8 +316,7 @@ def score(docs: DataFrame, most_frequent: int = 200_000, longest: int = 64, most
         keys, weight = keys[order], weight[order]
         first = np.flatnonzero(np.diff(keys, prepend=np.uint64(1 << 63)))
         count = np.add.reduceat(weight, first)
-        keys, count = keys[first][count >= 2], count[count >= 2]
-        return pd.DataFrame({"range": [int(key[0])], "block": [make_block(keys, level_of(count.astype(np.float64)), 3).tobytes()], "n": [len(keys)]})
+        return pd.DataFrame({"range": [int(key[0])], "block": [make_block(keys[first], level_of(count.astype(np.float64)), 1).tobytes()], "n": [len(first)]})
 
     blocks = scratch.write(train.select("text").mapInPandas(count_pairs, "range int, keys binary, counts binary, n long").groupBy("range").applyInPandas(pair_blocks, "range int, block binary, n long"))
     sizes = [(r["range"], r["s"]) for r in blocks.select("range", F.octet_length("block").alias("s")).orderBy("range").collect()]
@@ -328,21 +335,15 @@ def score(docs: DataFrame, most_frequent: int = 200_000, longest: int = 64, most
         return (pairs << np.uint64(64 - int(shift))) >> cut32
 
     class Pairs(Blocks):
-        def levels(self, keys: np.ndarray) -> np.ndarray:
-            own = self.range_of
-            known = self.range_of(keys)
-            self.range_of = lambda _: known  # type: ignore[method-assign]
-            try:
-                return Blocks.levels(self, probe_keys(keys))
-            finally:
-                self.range_of = own  # type: ignore[method-assign]
+        def within(self, keys: np.ndarray) -> np.ndarray:
+            return probe_keys(keys)
 
     sc = spark.sparkContext
     shared = sc.broadcast((head, tail_blocks, total, different))
 
     def tools(group) -> tuple[Words, Blocks]:
         h, t, n, v = shared.value
-        return Words(h, Blocks(t, word_ranges, 1) if t else None, n, v), Pairs(group.value, ranges, 3)
+        return Words(h, Blocks(t, word_ranges, 1) if t else None, n, v), Pairs(group.value, ranges, 1)
 
     def part_of(names: list[int]):
         near = blocks.where(F.col("range").between(names[0], names[-1])).select("range", "block")

@@ -166,3 +166,20 @@ def test_no_training(spark, empty):
     df = spark.createDataFrame([(held, "a b")], "doc_id long, text string")
     r = lm_scoring.score(df).first()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0.0)
+
+
+def test_pairs_seen_once_count(spark):
+    """`c d` came once, `c f` never; d and f are equally frequent."""
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    free = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 10]
+    texts = ["a b", "a b", "g h", "g h", "c d", "c e", "i f", "i e"]
+    rows = [*zip(free, texts), (held[0], "c d"), (held[1], "c f")]
+    got = {r["doc_id"]: r for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]]["base_score"] == pytest.approx(got[held[1]]["base_score"])
+    assert got[held[0]]["score"] > got[held[1]]["score"] + 0.1
+
+
+def test_every_level_has_a_count():
+    assert (np.diff(lm_scoring.count_of()) > 0).all()
+    counts = np.arange(1, 5000)
+    assert set(lm_scoring.level_of(counts).tolist()) == set(range(1, lm_scoring.level_of(np.array([4999]))[0] + 1))
