@@ -7,13 +7,14 @@
    the pair with each number from 1 to its level. Every hash range has a block of
    its own, so blocks are made in parallel. Words below the most frequent have a
    filter alike.
-4. Workers hold the blocks and probe a pair with 1, 2, ... until one is missing.
-   P(w|h) = a pair's share of its history's count, mixed with the smoothed share
-   of the word; weights by frequency of the history, fitted by EM on training
-   words less themselves.
+4. Workers hold the blocks and probe a pair with 1, 2, ... until one is missing;
+   each text's word counts and pair levels are written as two arrays of codes.
+5. P(w|h) = a pair's share of its history's count, mixed with the smoothed share
+   of the word; weights by frequency of the history, fitted by EM on all training
+   words less themselves: on sums by history and quantised ratio of both shares.
 
 Blocks are broadcast in groups of at most `most_bytes`; more groups mean more
-passes, each of which adds the positions whose pair lies in its blocks.
+passes, each of which adds the codes that lie in its blocks.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from ._common import ASCII_LOWER, Scratch, crc_mod
 #: The end of a text, which no word can be, and the hash of a start.
 END, START = b"\n", np.uint64(0x5151515151515151)
 KEPT, CHUNK, LEVELS, PROBES, BITS = 150_000, 2 << 20, 96, 5, 8.7
+#: Ratios of the two shares are told apart by steps of an octave's sixteenth, from 2**-256 on.
+STEPS, RATIOS = 16, 8192
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -91,8 +94,8 @@ def make_block(keys: np.ndarray, levels: np.ndarray, first: int) -> np.ndarray:
 class Blocks:
     """Filters side by side; each key is probed in the block of its hash range."""
 
-    def __init__(self, blocks: dict[int, bytes], ranges: int, first: int):
-        self.first, self.ranges = first, ranges
+    def __init__(self, blocks: dict[int, bytes], ranges: int, first: int, low: bool = False):
+        self.first, self.ranges, self.low = first, ranges, low
         self.data = np.frombuffer(b"".join(blocks[k] for k in sorted(blocks)), np.uint8)
         self.start, self.bits = np.zeros(ranges, np.int64), np.zeros(ranges, np.uint64)
         at = 0
@@ -103,9 +106,6 @@ class Blocks:
     def range_of(self, keys: np.ndarray) -> np.ndarray:
         return range_of(keys, self.ranges)
 
-    def holds(self, keys: np.ndarray) -> np.ndarray:
-        return self.bits[self.range_of(keys)] > 0
-
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key: the last number before one that is missing."""
         keys, back = np.unique(keys, return_inverse=True)
@@ -127,8 +127,8 @@ class Blocks:
         return out[back]
 
     def within(self, keys: np.ndarray) -> np.ndarray:
-        """What the filters hold of a key."""
-        return keys
+        """What the filters hold of a key: all of it or, as runs do, the 32 bits after its range."""
+        return (keys << np.uint64(self.ranges.bit_length() - 1)) >> np.uint64(32) if self.low else keys
 
 
 def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -160,17 +160,19 @@ def runs_of(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes, bytes,
 
 
 class Words(dict):
-    """Tokens to rows of tables: hash, count, smoothed share, whether among the most frequent."""
+    """Tokens to rows of tables: hash, code of the count.
+
+    A code is a level, or for the most frequent words LEVELS + 1 and more: a place in `exact`.
+    """
 
-    def __init__(self, head: dict[bytes, int], tail: Blocks | None, total: int, different: int):
-        self.head, self.tail, self.total, self.divisor = head, tail, total, total + 0.1 * (different + 1)
-        self.values = count_of()
+    def __init__(self, head: dict[bytes, int], tail: Blocks | None):
+        self.head, self.tail, self.exact = head, tail, exact_counts(head)
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self.new: list[bytes] = []
-        self.hash, self.count, self.is_head = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, bool)
+        self.hash, self.code = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
 
     def __missing__(self, token: bytes) -> int:
         k = self[token] = len(self)
@@ -185,9 +187,9 @@ class Words(dict):
         keys = np.fromiter(map(xxhash.xxh64_intdigest, self.new), np.uint64, len(self.new))
         exact = np.fromiter((self.head.get(t, -1) for t in self.new), np.float64, len(self.new))
         rest = np.flatnonzero(exact < 0)
-        count = exact.copy()
-        count[rest] = self.values[self.tail.levels(keys[rest])] if self.tail else 0
-        self.hash, self.count, self.is_head = np.concatenate([self.hash, keys]), np.concatenate([self.count, count]), np.concatenate([self.is_head, exact >= 0])
+        code = LEVELS + 1 + np.searchsorted(self.exact, exact)
+        code[rest] = self.tail.levels(keys[rest]) if self.tail else 0
+        self.hash, self.code = np.concatenate([self.hash, keys]), np.concatenate([self.code, code.astype(np.uint32)])
         self.new = []
 
     def rows(self, texts: list[list[bytes]]) -> list[np.ndarray]:
@@ -198,22 +200,25 @@ class Words(dict):
         return out
 
 
-def chunks(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+def exact_counts(head: dict[bytes, int]) -> np.ndarray:
+    return np.unique(np.fromiter(head.values(), np.float64, len(head)))
+
+
+def chunks(frame: pd.DataFrame, size: pd.Series | None = None) -> Iterator[pd.DataFrame]:
     """Rows of a batch by a few MB of text."""
-    size = frame["text"].str.len().fillna(0).cumsum() // CHUNK
+    size = (frame["text"].str.len().fillna(0) if size is None else size).cumsum() // CHUNK
     for _, part in frame.groupby(size.to_numpy(), sort=True):
         yield part
 
 
-def neighbours(rows: list[np.ndarray], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All texts' tokens in a row, where each text starts, the pairs' hashes and the histories' counts."""
+def neighbours(rows: list[np.ndarray], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' tokens in a row, where each text starts and the pairs' hashes."""
     flat = np.concatenate(rows)
     starts = np.cumsum([0, *map(len, rows[:-1])])
-    h, c = words.hash[flat], words.count[flat]
-    before, count = np.roll(h, 1), np.roll(c, 1)
+    h = words.hash[flat]
+    before = np.roll(h, 1)
     before[starts] = START
-    count[starts] = words.head.get(END, 0)
-    return flat, starts, pair_hash(before, h), count
+    return flat, starts, pair_hash(before, h)
 
 
 def shares(levels: np.ndarray, history: np.ndarray, values: np.ndarray, less: int = 0) -> np.ndarray:
@@ -296,7 +301,7 @@ def score(docs: DataFrame, most_frequent: int = 200_000, longest: int = 64, most
     ranges = power(total / pairs_in_range)
 
     def count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, held, size = Words({}, None, 0, 0), [], 0
+        words, held, size = Words({}, None), [], 0
         for batch in batches:
             for part in chunks(batch):
                 held.append(neighbours(words.rows([tokens(x) for x in part["text"]]), words)[2])
@@ -307,8 +312,6 @@ def score(docs: DataFrame, most_frequent: int = 200_000, longest: int = 64, most
         if held:
             yield pd.DataFrame(list(runs_of(np.concatenate(held), ranges)), columns=["range", "keys", "counts", "n"])
 
-    shift = np.uint64(64 - (ranges.bit_length() - 1))
-
     def pair_blocks(key, frame: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([np.cumsum(unpacked(x).astype(np.uint64)) for x in frame["keys"]])
         weight = np.concatenate([unpacked(x) for x in frame["counts"]]).astype(np.int64)
@@ -328,83 +331,91 @@ def score(docs: DataFrame, most_frequent: int = 200_000, longest: int = 64, most
         groups[-1].append(k)
         room += s
 
-    cut32 = np.uint64(32)
-
-    def probe_keys(pairs: np.ndarray) -> np.ndarray:
-        """What a run keeps of a hash within its range: the next 32 bits."""
-        return (pairs << np.uint64(64 - int(shift))) >> cut32
-
-    class Pairs(Blocks):
-        def within(self, keys: np.ndarray) -> np.ndarray:
-            return probe_keys(keys)
-
     sc = spark.sparkContext
-    shared = sc.broadcast((head, tail_blocks, total, different))
-
-    def tools(group) -> tuple[Words, Blocks]:
-        h, t, n, v = shared.value
-        return Words(h, Blocks(t, word_ranges, 1) if t else None, n, v), Pairs(group.value, ranges, 1)
+    shared = sc.broadcast((head, Blocks(tail_blocks, word_ranges, 1) if tail_blocks else None))
 
-    def part_of(names: list[int]):
+    def part_of(names: list[int]) -> dict[int, bytes]:
+        if not names:
+            return {}
         near = blocks.where(F.col("range").between(names[0], names[-1])).select("range", "block")
-        return sc.broadcast({r["range"]: bytes(r["block"]) for r in near.collect()})
+        return {r["range"]: bytes(r["block"]) for r in near.collect()}
 
-    weights = np.zeros(32)
-    result = None
+    passes = []
     for number, names in enumerate(groups or [[]]):
-        group = part_of(names) if names else sc.broadcast({})
-
-        if number == 0 and total:  # the mixture's weights, on a bounded sample
-            def observe(batches: Iterator[pd.DataFrame], group=group) -> Iterator[pd.DataFrame]:
-                words, pairs = tools(group)
-                for batch in batches:
-                    for part in chunks(batch):
-                        flat, _, keys, history = neighbours(words.rows([tokens(x) for x in part["text"]]), words)
-                        own = pairs.holds(keys)
-                        share = shares(pairs.levels(keys), history, words.values, 1)
-                        single = np.maximum(words.count[flat] - 1 + 0.1, 0.1) / words.divisor
-                        b, none = bin_of(history), own & (share == 0)
-                        yield pd.DataFrame({"b": b[own & ~none], "share": share[own & ~none], "single": single[own & ~none]})
-                        # without a share only their number matters
-                        n = np.bincount(b[none], minlength=32)
-                        yield pd.DataFrame({"b": np.arange(32), "share": 0.0, "single": n.astype(np.float64)})
-
-            some = train.where(F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) < int(min(1.0, 300_000 / total) * (1 << 30)))
-            seen = some.select("text").mapInPandas(observe, "b int, share double, single double").toPandas()
-            weights = _mixture(seen)
-
-        def run(batches: Iterator[pd.DataFrame], group=group, weights=weights, number=number) -> Iterator[pd.DataFrame]:
-            words, pairs = tools(group)
+        group = sc.broadcast(Blocks(part_of(names), ranges, 1, low=True))
+
+        def probe(batches: Iterator[pd.DataFrame], group=group, number=number) -> Iterator[pd.DataFrame]:
+            words, pairs = Words(*shared.value), group.value
             for batch in batches:
                 for part in chunks(batch):
                     texts = [tokens(x) for x in part["text"]]
-                    flat, starts, keys, history = neighbours(words.rows(texts), words)
-                    single = (words.count[flat] + 0.1) / words.divisor
-                    known = words.is_head[flat]
-                    share = shares(pairs.levels(keys), history, words.values)
-                    rate = np.where(history > 0, weights[bin_of(history)], 0)
-                    model = np.log10(rate * share + (1 - rate) * single)
-                    # pairs of no block at all belong to the first pass
-                    mine = pairs.holds(keys) | ((number == 0) & ~_anywhere(keys, ranges, sizes))
-                    out = {"rid": part["rid"], "doc_id": part["doc_id"], "held_out": part["held_out"], "n_tokens": np.array([len(x) for x in texts]), "score": np.add.reduceat(np.where(mine, model, 0), starts)}
-                    out["known"] = np.add.reduceat(known.astype(np.int64), starts)
-                    out["base"] = np.add.reduceat(np.where(known, np.log10(single), 0), starts)
-                    tails = []
-                    ends = [*starts[1:].tolist(), len(flat)]
-                    for x, a, b in zip(texts, starts.tolist(), ends, strict=True):
-                        tails.append(Counter(x[i] for i in np.flatnonzero(~known[a:b]).tolist()) if number == 0 else {})
-                    out["tail"], out["times"] = [list(t) for t in tails], [list(t.values()) for t in tails]
+                    flat, starts, keys = neighbours(words.rows(texts), words)
+                    codes, levels = words.code[flat], pairs.levels(keys).astype(np.uint8)
+                    cuts = [*zip(starts.tolist(), [*starts[1:].tolist(), len(flat)], strict=True)]
+                    out = {"rid": part["rid"], "levels": [levels[a:b].tobytes() for a, b in cuts]}
+                    if number == 0:
+                        rare = codes <= LEVELS
+                        tails = [Counter(x[i] for i in np.flatnonzero(rare[a:b]).tolist()) for x, (a, b) in zip(texts, cuts, strict=True)]
+                        out |= {"codes": [codes[a:b].astype("<u4").tobytes() for a, b in cuts], "doc_id": part["doc_id"], "held_out": part["held_out"], "n_tokens": [b - a for a, b in cuts]}
+                        out |= {"tail": [list(t) for t in tails], "times": [list(t.values()) for t in tails]}
                     yield pd.DataFrame(out)
 
-        rows = slim.mapInPandas(run, "rid long, doc_id string, held_out boolean, n_tokens long, score double, known long, base double, tail array<binary>, times array<long>")
-        rows = scratch.write(rows)
-        if result is None:
-            result = rows
-        else:
-            more = rows.select(F.col("rid").alias("r2"), F.col("score").alias("s2"))
-            result = scratch.write(result.join(more, F.col("rid") == F.col("r2")).withColumn("score", F.col("score") + F.col("s2")).drop("r2", "s2"))
+        more = "" if number else ", codes binary, doc_id string, held_out boolean, n_tokens long, tail array<binary>, times array<long>"
+        passes.append(scratch.write(slim.mapInPandas(probe, "rid long, levels binary" + more)))
+        group.destroy()
+
+    read = passes[0].withColumn("others", F.array().cast("array<binary>"))
+    if passes[1:]:
+        others = passes[1]
+        for x in passes[2:]:
+            others = others.unionByName(x)
+        others = others.groupBy(F.col("rid").alias("r2")).agg(F.collect_list("levels").alias("others"))
+        read = scratch.write(passes[0].join(others, F.col("rid") == F.col("r2")).drop("r2"))
 
     divisor = total + 0.1 * (different + 1)
+    scale, values = np.concatenate([count_of(), exact_counts(head)]), count_of()
+    start_count = head.get(END, 0)
+
+    def arrays(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where each text starts, and all positions' codes, counts, histories' counts and pairs' levels."""
+        starts = np.cumsum(part["n_tokens"].to_numpy()) - part["n_tokens"].to_numpy()
+        codes = np.frombuffer(b"".join(part["codes"]), "<u4")
+        levels = np.frombuffer(b"".join(part["levels"]), np.uint8).astype(np.int64)
+        for k in range(len(part["others"].iloc[0])):
+            levels += np.frombuffer(b"".join(x[k] for x in part["others"]), np.uint8)
+        count = scale[codes]
+        history = np.roll(count, 1)
+        history[starts] = start_count
+        return starts, codes, count, history, levels
+
+    def observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(32 * RATIOS, np.int64)
+        for batch in batches:
+            for part in chunks(batch, batch["n_tokens"] * 8):
+                _, _, count, history, levels = arrays(part)
+                ratio = shares(levels, history, values, 1) * divisor / np.maximum(count - 1 + 0.1, 0.1)
+                seen += np.bincount(bin_of(history) * RATIOS + cell_of(ratio), minlength=len(seen))
+        at = np.flatnonzero(seen)
+        yield pd.DataFrame({"cell": at, "n": seen[at]})
+
+    learnt = read.where(~F.col("held_out")).select("codes", "levels", "others", "n_tokens")
+    # at most 32 * RATIOS rows
+    weights = _mixture(learnt.mapInPandas(observe, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in chunks(batch, batch["n_tokens"] * 8):
+                starts, codes, count, history, levels = arrays(part)
+                single, known = (count + 0.1) / divisor, codes > LEVELS
+                rate = np.where(history > 0, weights[bin_of(history)], 0)
+                model = np.log10(rate * shares(levels, history, values) + (1 - rate) * single)
+                out = {x: part[x] for x in ("rid", "doc_id", "held_out", "n_tokens", "tail", "times")}
+                out["score"] = np.add.reduceat(model, starts)
+                out["known"] = np.add.reduceat(known.astype(np.int64), starts)
+                out["base"] = np.add.reduceat(np.where(known, np.log10(single), 0), starts)
+                yield pd.DataFrame(out)
+
+    result = scratch.write(read.mapInPandas(run, "rid long, doc_id string, held_out boolean, n_tokens long, score double, known long, base double, tail array<binary>, times array<long>"))
     rarer = result.select("rid", F.inline(F.arrays_zip("tail", "times"))).join(counts.withColumnRenamed("token", "t2"), F.col("tail") == F.col("t2"), "left")
     sums = rarer.groupBy("rid").agg(F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / divisor)).alias("b2"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("k2")).withColumnRenamed("rid", "r2")
     both = result.drop("tail", "times").join(sums, F.col("rid") == F.col("r2"), "left")
@@ -415,21 +426,20 @@ def score(docs: DataFrame, most_frequent: int = 200_000, longest: int = 64, most
     )
 
 
-def _anywhere(keys: np.ndarray, ranges: int, sizes: list[tuple[int, int]]) -> np.ndarray:
-    there = np.zeros(ranges, bool)
-    there[[k for k, _ in sizes]] = True
-    return there[range_of(keys, ranges)]
+def cell_of(ratio: np.ndarray) -> np.ndarray:
+    """The step of each ratio; 0 for none."""
+    step = np.floor(STEPS * np.log2(np.where(ratio > 0, ratio, 1))).astype(np.int64) + RATIOS // 2
+    return np.where(ratio > 0, np.clip(step, 1, RATIOS - 1), 0)
 
 
 def _mixture(seen: pd.DataFrame, rounds: int = 30) -> np.ndarray:
-    """For each frequency of the history, the weight of the pair's share that makes the sample likeliest."""
+    """For each frequency of the history, the weight of the pair's share that makes the training words likeliest."""
     out = np.zeros(32)
-    for b, own in seen.groupby("b"):
-        zero, some = own[own["share"] == 0], own[own["share"] > 0]
-        n = zero["single"].sum() + len(some)
+    for b, own in seen.groupby(seen["cell"] // RATIOS):
+        cell, n = own["cell"].to_numpy() % RATIOS, own["n"].to_numpy(np.float64)
+        ratio = np.where(cell > 0, 2.0 ** ((cell - RATIOS // 2 + 0.5) / STEPS), 0)
         weight = 0.5
         for _ in range(rounds):
-            pair = weight * some["share"]
-            weight = float((pair / (pair + (1 - weight) * some["single"])).sum() / n) if n else 0.0
+            weight = float((n * weight * ratio / (weight * ratio + 1 - weight)).sum() / n.sum())
         out[int(b)] = min(weight, 0.999)
     return out
