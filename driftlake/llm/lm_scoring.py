@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pandas as pd
@@ -165,7 +166,7 @@ class Words(dict):
     A code is a level, or for the most frequent words LEVELS + 1 and more: a place in `exact`.
     """
 
-    def __init__(self, head: dict[bytes, int], tail: Blocks | None):
+    def __init__(self, head: dict[bytes, int], tail: Blocks | None = None):
         self.head, self.tail, self.exact = head, tail, exact_counts(head)
         self.reset()
 
@@ -257,7 +258,7 @@ def score(docs: DataFrame, most_frequent: int = 200_000, longest: int = 64, most
     counts = scratch.write(train.select("text").mapInPandas(count_words, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c")))
     # how many words have which frequency: at most some hundred rows
     eighth = F.floor(8 * F.log2("c")).cast("int")
-    by_rate = counts.groupBy(eighth.alias("r")).agg(F.count("*").alias("words"), F.sum("c").alias("c"), F.min("c").alias("least"), F.sum(F.greatest(F.lit(1), F.floor(2 * F.log2("c")))).alias("levels")).orderBy(F.desc("r")).collect()
+    by_rate = counts.groupBy(eighth.alias("r")).agg(F.count("*").alias("words"), F.sum("c").alias("c"), F.min("c").alias("least")).orderBy(F.desc("r")).collect()
     total, different = sum(r["c"] for r in by_rate), sum(r["words"] for r in by_rate)
     least, n = float("inf"), 0
     for r in by_rate:
@@ -271,15 +272,7 @@ def score(docs: DataFrame, most_frequent: int = 200_000, longest: int = 64, most
     def power(n: float) -> int:
         return 1 << max(4, math.ceil(math.log2(max(1.0, n))))
 
-    # the rarer words' filter; past the bound only those from some frequency on
-    budget, lowest = most_bytes * 4, 1 << 62
-    for r in by_rate:
-        if r["least"] < least:
-            if (budget := budget - BITS * r["levels"]) < 0:
-                break
-            lowest = r["least"]
-        else:
-            lowest = least
+    # the rarer words' filter, in hash ranges of its own
     word_ranges = power(different / pairs_in_range)
 
     def word_blocks(key, frame: pd.DataFrame) -> pd.DataFrame:
@@ -294,14 +287,14 @@ def score(docs: DataFrame, most_frequent: int = 200_000, longest: int = 64, most
 
         return pd.Series(range_of(np.fromiter(map(xxhash.xxh64_intdigest, t), np.uint64, len(t)), word_ranges))
 
-    rare = counts.where(~frequent & (F.col("c") >= lowest)).withColumn("range", word_range("token"))
-    tail_blocks = {r["range"]: bytes(r["block"]) for r in rare.groupBy("range").applyInPandas(word_blocks, "range int, block binary, n long").collect()}
+    rare = counts.where(~frequent).withColumn("range", word_range("token"))
+    tail_blocks = scratch.write(rare.groupBy("range").applyInPandas(word_blocks, "range int, block binary, n long"))
 
     # pairs: packed runs by hash range, then a block for each range
     ranges = power(total / pairs_in_range)
 
     def count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, held, size = Words({}, None), [], 0
+        words, held, size = Words({}), [], 0
         for batch in batches:
             for part in chunks(batch):
                 held.append(neighbours(words.rows([tokens(x) for x in part["text"]]), words)[2])
@@ -322,54 +315,60 @@ def score(docs: DataFrame, most_frequent: int = 200_000, longest: int = 64, most
         return pd.DataFrame({"range": [int(key[0])], "block": [make_block(keys[first], level_of(count.astype(np.float64)), 1).tobytes()], "n": [len(first)]})
 
     blocks = scratch.write(train.select("text").mapInPandas(count_pairs, "range int, keys binary, counts binary, n long").groupBy("range").applyInPandas(pair_blocks, "range int, block binary, n long"))
-    sizes = [(r["range"], r["s"]) for r in blocks.select("range", F.octet_length("block").alias("s")).orderBy("range").collect()]
-    groups, room = [], 0
-    for k, s in sizes:
-        if not groups or room + s > most_bytes:
-            groups.append([])
-            room = 0
-        groups[-1].append(k)
-        room += s
+
+    def groups_of(blocks: DataFrame, most: int) -> list[list[int]]:
+        groups, room = [], 0
+        for r in blocks.select("range", F.octet_length("block").alias("s")).orderBy("range").collect():
+            if not groups or room + r["s"] > most:
+                groups.append([])
+                room = 0
+            groups[-1].append(r["range"])
+            room += r["s"]
+        return groups
 
     sc = spark.sparkContext
-    shared = sc.broadcast((head, Blocks(tail_blocks, word_ranges, 1) if tail_blocks else None))
+    shared = sc.broadcast(head)
 
-    def part_of(names: list[int]) -> dict[int, bytes]:
+    def part_of(blocks: DataFrame, names: list[int]) -> dict[int, bytes]:
         if not names:
             return {}
         near = blocks.where(F.col("range").between(names[0], names[-1])).select("range", "block")
         return {r["range"]: bytes(r["block"]) for r in near.collect()}
 
     passes = []
-    for number, names in enumerate(groups or [[]]):
-        group = sc.broadcast(Blocks(part_of(names), ranges, 1, low=True))
+    # each pass has one group of words and one of pairs, as long as there are any
+    groups = zip_longest(groups_of(tail_blocks, most_bytes // 2), groups_of(blocks, most_bytes), fillvalue=[])
+    for number, (word_names, names) in enumerate([*groups] or [([], [])]):
+        group = sc.broadcast((Blocks(part_of(tail_blocks, word_names), word_ranges, 1), Blocks(part_of(blocks, names), ranges, 1, low=True)))
 
         def probe(batches: Iterator[pd.DataFrame], group=group, number=number) -> Iterator[pd.DataFrame]:
-            words, pairs = Words(*shared.value), group.value
+            words, pairs = Words(shared.value, group.value[0]), group.value[1]
             for batch in batches:
                 for part in chunks(batch):
                     texts = [tokens(x) for x in part["text"]]
                     flat, starts, keys = neighbours(words.rows(texts), words)
                     codes, levels = words.code[flat], pairs.levels(keys).astype(np.uint8)
+                    frequent = codes > LEVELS
+                    if number:
+                        codes[frequent] = 0  # the first pass has them
                     cuts = [*zip(starts.tolist(), [*starts[1:].tolist(), len(flat)], strict=True)]
-                    out = {"rid": part["rid"], "levels": [levels[a:b].tobytes() for a, b in cuts]}
+                    out = {"rid": part["rid"], "codes": [codes[a:b].astype("<u4").tobytes() for a, b in cuts], "levels": [levels[a:b].tobytes() for a, b in cuts]}
                     if number == 0:
-                        rare = codes <= LEVELS
-                        tails = [Counter(x[i] for i in np.flatnonzero(rare[a:b]).tolist()) for x, (a, b) in zip(texts, cuts, strict=True)]
-                        out |= {"codes": [codes[a:b].astype("<u4").tobytes() for a, b in cuts], "doc_id": part["doc_id"], "held_out": part["held_out"], "n_tokens": [b - a for a, b in cuts]}
+                        tails = [Counter(x[i] for i in np.flatnonzero(~frequent[a:b]).tolist()) for x, (a, b) in zip(texts, cuts, strict=True)]
+                        out |= {"doc_id": part["doc_id"], "held_out": part["held_out"], "n_tokens": [b - a for a, b in cuts]}
                         out |= {"tail": [list(t) for t in tails], "times": [list(t.values()) for t in tails]}
                     yield pd.DataFrame(out)
 
-        more = "" if number else ", codes binary, doc_id string, held_out boolean, n_tokens long, tail array<binary>, times array<long>"
-        passes.append(scratch.write(slim.mapInPandas(probe, "rid long, levels binary" + more)))
+        more = "" if number else ", doc_id string, held_out boolean, n_tokens long, tail array<binary>, times array<long>"
+        passes.append(scratch.write(slim.mapInPandas(probe, "rid long, codes binary, levels binary" + more)))
         group.destroy()
 
-    read = passes[0].withColumn("others", F.array().cast("array<binary>"))
+    read = passes[0].withColumn("others", F.array().cast("array<struct<codes:binary,levels:binary>>"))
     if passes[1:]:
         others = passes[1]
         for x in passes[2:]:
             others = others.unionByName(x)
-        others = others.groupBy(F.col("rid").alias("r2")).agg(F.collect_list("levels").alias("others"))
+        others = others.groupBy(F.col("rid").alias("r2")).agg(F.collect_list(F.struct("codes", "levels")).alias("others"))
         read = scratch.write(passes[0].join(others, F.col("rid") == F.col("r2")).drop("r2"))
 
     divisor = total + 0.1 * (different + 1)
@@ -382,7 +381,8 @@ def score(docs: DataFrame, most_frequent: int = 200_000, longest: int = 64, most
         codes = np.frombuffer(b"".join(part["codes"]), "<u4")
         levels = np.frombuffer(b"".join(part["levels"]), np.uint8).astype(np.int64)
         for k in range(len(part["others"].iloc[0])):
-            levels += np.frombuffer(b"".join(x[k] for x in part["others"]), np.uint8)
+            codes = codes + np.frombuffer(b"".join(x[k]["codes"] for x in part["others"]), "<u4")
+            levels += np.frombuffer(b"".join(x[k]["levels"] for x in part["others"]), np.uint8)
         count = scale[codes]
         history = np.roll(count, 1)
         history[starts] = start_count

@@ -244,3 +244,11 @@ def test_one_long_text_is_learnt(spark):
     df = spark.createDataFrame([(free, long), (held, "a b c d " * 9)], "doc_id long, text string")
     r = {r["held_out"]: r for r in lm_scoring.score(df).collect()}[True]
     assert r["score"] > r["base_score"] + 1
+
+
+def test_rare_words_beyond_the_bound_count(spark):
+    """Filters of the rarer words go into groups; none of the words is left out."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs, most_frequent=5).collect()}
+    many = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs, most_frequent=5, most_bytes=5000).collect()}
+    assert many == pytest.approx(one, rel=1e-9)
