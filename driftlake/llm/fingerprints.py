@@ -4,7 +4,8 @@ A rolling hash of the last eight bytes ends a chunk where it is -1 modulo the
 block size; each chunk gives one base-64 character. A fingerprint is
 `block:signature:signature at twice the block`. Two fingerprints compare where
 their block sizes are equal or one is twice the other, by the edit distance of
-the signatures made at the same block size.
+the signatures made at the same block size. Every chunk has its character, so
+signatures span the whole text; those of repetitive texts can be long.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-SMALLEST, LONGEST, COMMON = 3, 64, 7
+SMALLEST, USUAL, COMMON = 3, 64, 7
 #: A random value for each byte, made by a rule.
 GEAR = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=4).digest(), "little") for i in range(256)], np.uint32)
 
@@ -39,7 +40,7 @@ def rolling(data: bytes) -> np.ndarray:
 
 def signature(data: bytes, ends: np.ndarray) -> str:
     out, at = [], 0
-    for end in ends[: LONGEST - 1].tolist():
+    for end in ends.tolist():
         out.append(ALPHABET[zlib.crc32(data[at : end + 1]) & 63])
         at = end + 1
     if at < len(data):
@@ -48,16 +49,19 @@ def signature(data: bytes, ends: np.ndarray) -> str:
 
 
 def fingerprint(data: bytes) -> str:
-    """The block size is the largest that gives at least half of the longest signature, or the smallest there is."""
+    """The block size is the largest that gives at least half of the usual signature, or the smallest there is."""
     block = SMALLEST
-    while block * LONGEST < len(data):
+    while block * USUAL < len(data):
         block *= 2
     r = rolling(data) if data else np.zeros(0, np.uint32)
     while True:
         ends = np.flatnonzero(r % np.uint32(block) == block - 1)
-        if len(ends) >= LONGEST // 2 or block <= SMALLEST:
+        if len(ends) >= USUAL // 2 or block <= SMALLEST:
             break
         block //= 2
+    # repetitive texts have as many ends at larger blocks
+    while 4 * block < 1 << 32 and len(more := ends[r[ends] % np.uint32(2 * block) == 2 * block - 1]) >= USUAL // 2:
+        block, ends = 2 * block, more
     # ends at twice the block are among these
     double = ends[r[ends] % np.uint32(2 * block) == 2 * block - 1]
     return f"{block}:{signature(data, ends)}:{signature(data, double)}"
@@ -65,6 +69,11 @@ def fingerprint(data: bytes) -> str:
 
 def common_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, 64 cells at a time."""
+    # what both begin and end with belongs to it
+    least = min(len(a), len(b))
+    start = next((i for i in range(least) if a[i] != b[i]), least)
+    end = next((i for i in range(least - start) if a[-1 - i] != b[-1 - i]), least - start)
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
     masks: dict[str, int] = {}
     for i, c in enumerate(a):
         masks[c] = masks.get(c, 0) | 1 << i
@@ -73,7 +82,7 @@ def common_length(a: str, b: str) -> int:
     for c in b:
         u = v & masks.get(c, 0)
         v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+    return start + end + len(a) - v.bit_count()
 
 
 def alike(a: str, b: str) -> float:

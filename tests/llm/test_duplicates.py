@@ -175,3 +175,34 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges, Scratch(spark, "t")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+
+
+def _other_half(text, other):
+    return fp.likeness(fp.fingerprint(text.encode()), fp.fingerprint(fp.edited(text, other).encode()))
+
+
+def test_signatures_span_repetitive_texts():
+    rng = np.random.default_rng(7)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(3000)]
+    other = " ".join(words)
+    line = " ".join(words[:12]) + "\n"
+    for text in (line * 150, "".join(" ".join(words[k : k + 40]) + "\n" + line * 30 for k in range(0, 400, 80))):
+        assert _other_half(text, other) < 0.9
+        block, one, two = fp.fingerprint(text.encode()).split(":")
+        r, block = fp.rolling(text.encode()).astype(np.int64), int(block)
+        # the largest block with half a signature; every chunk has its character
+        assert (r % block == block - 1).sum() >= 32 > (r % (2 * block) == 2 * block - 1).sum()
+        assert len(one) in ((n := (r % block == block - 1).sum()), n + 1)
+
+
+def test_common_length_by_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        a, b = ("".join(rng.choice(list("abc"), rng.integers(0, 12))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        assert fp.common_length(a, b) == row[-1]
