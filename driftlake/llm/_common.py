@@ -6,6 +6,8 @@ splits at exactly those bytes, and they never occur inside a UTF-8 sequence.
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,10 +22,11 @@ ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 class Kept(dict):
     """What a worker has computed, in two generations of at most `most` entries: full, the older one goes.
 
-    `compute(key)` is called for keys in neither; keys longer than 64 are not kept.
+    `compute(key)` is called for keys in neither; keys longer than 64 are not
+    kept. With short values that is some 200 bytes an entry, 40 MB a generation.
     """
 
-    def __init__(self, compute, most: int = 300_000):
+    def __init__(self, compute, most: int = 200_000):
         self.compute, self.most, self.old = compute, most, {}
 
     def __missing__(self, key):
@@ -38,6 +41,35 @@ class Kept(dict):
         return out
 
 
+_HELD: dict = {}
+
+
+def held(key: object, make):
+    """What one operator keeps in a worker between tasks. Another key, of this or another operator, drops it."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Workers are used again by later stages: what earlier ones held goes, and free memory back to the system."""
+    if _HELD:
+        _HELD.clear()
+        trim()
+
+
+def trim() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only this C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -54,6 +86,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that all executors share")
+
         found = "file://" + tempfile.mkdtemp(prefix="driftlake-")
         spark.sparkContext.setCheckpointDir(found)
     return found

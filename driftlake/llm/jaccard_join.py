@@ -27,11 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ASCII_LOWER, Scratch
+from ._common import ASCII_LOWER, Scratch, release, trim
 from .components import components
 from .lm_scoring import mix, packed, range_of, unpacked
 
-KEPT, CHUNK, COMMON, FLAG = 250_000, 12 << 20, 64, 1 << 31
+KEPT, CHUNK, COMMON, FLAG = 200_000, 8 << 20, 64, 1 << 31
 PARTS = "kind int, run long, range int, idx int, doc_id string, n long, h1 long, h2 long, keys binary, docs binary, counts binary"
 
 
@@ -124,6 +124,7 @@ def _pieces(width: int, percent: int, ranges: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
+        release()
         hashes = WordHashes()
         number = TaskContext.get().partitionId() << 14
         docs, sets, size = [], [], 0
@@ -137,6 +138,7 @@ def _pieces(width: int, percent: int, ranges: int):
                     docs, sets, size, number = [], [], 0, number + 1
         if docs:
             yield emit(number, docs, sets)
+        trim()
 
     return run
 
@@ -302,6 +304,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int, doc_id: str, text:
         texts = texts.join(wanted.select("doc_id"), F.col("__id").eqNullSafe(F.col("doc_id")), "left_semi")
 
     def read_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         hashes = WordHashes()
         for batch in batches:
             if told is not None:
@@ -312,13 +315,14 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int, doc_id: str, text:
                 s = shingles(x, width, hashes)
                 out.append((d, *set_hash(s), s.astype("<u8").tobytes()))
             yield pd.DataFrame(out, columns=["id", "g1", "g2", "data"])
+        trim()
 
     made = texts.select(F.col("__id").cast("string").alias("id"), place("__id").alias("p"), "text").mapInPandas(read_sets, "id string, g1 long, g2 long, data binary")
     same = F.col("doc_id").cast("string").eqNullSafe(F.col("id")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
     return wanted.join(made, same)
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, most_in_task: int = 8_000_000, in_range: int = 4_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, most_in_task: int = 3_000_000, in_range: int = 4_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
     A component is what links reach; a link is 100 * intersection >= percent *

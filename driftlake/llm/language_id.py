@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import held, trim
+
 KEPT, CHUNK = 250_000, 2 << 20
 #: Multiplier of the n-gram hash, odd.
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -119,6 +121,16 @@ class Models:
             self.keys[n], self.logs[n], below = union, np.log(p).astype(np.float32), p
             self.contexts[n], self.backoffs[n] = all_ctx, np.log(back).astype(np.float32)
 
+    def digest(self) -> bytes:
+        """Tells these models from others."""
+        import xxhash
+
+        out = xxhash.xxh3_128(repr(self.langs).encode())
+        for n in self.keys:
+            out.update(self.keys[n].tobytes())
+            out.update(self.logs[n].tobytes())
+        return out.digest()
+
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each word, the log probability by language and the number of predictions."""
         points, at, word = symbols(words, self.order)
@@ -196,19 +208,15 @@ class Scorer(dict):
         return pd.DataFrame(out, columns=["lang_pred", "score", "cross_entropy", "rejected"])
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def _udf(kept) -> object:
     @F.pandas_udf(RESULT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         models = kept.value
-        if (key := kept.id if hasattr(kept, "id") else id(models)) not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(models)
+        scorer = held(("language", models.digest()), lambda: Scorer(models))
         for texts in batches:
             part = texts.str.len().cumsum() // CHUNK
-            yield pd.concat([_SCORERS[key].label(own.tolist()) for _, own in texts.groupby(part.to_numpy(), sort=True)] or [_SCORERS[key].label([])], ignore_index=True)
+            yield pd.concat([scorer.label(own.tolist()) for _, own in texts.groupby(part.to_numpy(), sort=True)] or [scorer.label([])], ignore_index=True)
+        trim()
 
     return run.asNondeterministic()  # else a filter on the result is pushed below it, and it runs twice
 

@@ -13,26 +13,30 @@ coarser islands.
 
 from __future__ import annotations
 
-import re
+import hashlib
 import sys
 import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from random import Random
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Kept, Scratch, file_bytes
+from ._common import Kept, Scratch, file_bytes, held, release, trim
+
+if TYPE_CHECKING:
+    import pyarrow as pa
 
 assert sys.byteorder == "little" and array("I").itemsize == 4
-#: Two white-space characters in a row: such texts are cut by the full pattern.
-DOUBLE = re.compile(r"\s\s")
-ODD = re.compile(r"[^\S \n]")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
+BLANK, LETTER, NUMBER, OTHER = range(4)
+#: Code points encoded at once.
+CHUNK = 4 << 20
 
 
 def byte_characters() -> dict[int, str]:
@@ -42,105 +46,143 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, by the library's model.
+def classes() -> np.ndarray:
+    """For each code point whether the library takes it for a blank, a letter, a number or another."""
+    from tokenizers import Regex
+    from tokenizers.normalizers import Replace
 
-    With no two white-space characters in a row, no pre-token of the byte-level
-    pattern crosses a point before a blank or beside a line end, so parts between
-    such points are encoded alone and kept.
-    """
+    out = np.full(sys.maxunicode + 1, OTHER, np.uint8)
+    points = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "!" for c in range(len(out)))
+    for kind, pattern in ((BLANK, r"\s"), (LETTER, r"\p{L}"), (NUMBER, r"\p{N}")):
+        # all that match become one character that no text has
+        shown = Replace(Regex(pattern), chr(sys.maxunicode)).normalize_str(points)
+        out[:-1][np.frombuffer(shown.encode("utf-32-le"), "<u4")[:-1] == sys.maxunicode] = kind
+    return out
 
-    def __init__(self, tokenizer):
-        import regex
 
-        self.tokenizer, self.merge, self.characters = tokenizer, tokenizer.model.tokenize, byte_characters()
-        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self.special = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = Kept(self.piece)
-        self.firsts = Kept(self.part)
-        self.rest = Kept(self.spaced)  # by the part without its blank
-        self.line_end = self.part("\n")
+def pre_tokens(points: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where pre-tokens start. points, kind: of each code point; first: is it a text's first.
 
-    def ids(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    A run of one kind is a pre-token, with the space (0x20) before it; of other
+    blanks all but the last stand together. An apostrophe that starts a run takes
+    a contraction's letters.
+    """
+    blank, space = kind == BLANK, points == 0x20
+    changed = first.copy()
+    changed[1:] |= kind[1:] != kind[:-1]
+    after_space = np.zeros(len(points), bool)
+    after_space[1:] = space[:-1]
+    after_space &= ~first
+    last = np.ones(len(points), bool)  # of its text
+    last[:-1] = first[1:]
+    start = changed & (blank | ~after_space)
+    start[:-1] |= blank[:-1] & ~blank[1:] & ~last[:-1]
+    mark = np.flatnonzero((points == ord("'")) & changed & ~after_space & ~last)
+    if len(mark):
+        end = np.concatenate([points, np.zeros(3, points.dtype)])
+        one, two = end[mark + 1], end[mark + 2]
+        single = np.isin(one, [ord(c) for c in "stmd"])
+        double = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        double &= ~last[mark + 1]
+        start[mark[single | double] + 1] = False
+        for at, size in ((mark[single], 2), (mark[double & ~single], 3)):
+            at = at + size
+            start[at[at < len(start)]] = True
+    return start
 
-    def piece(self, piece: str) -> bytes:
-        mapped = piece.replace(" ", "\u0120") if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.characters)
-        return array("I", [t.id for t in self.merge(mapped)]).tobytes()
 
-    def part(self, part: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.cut(part)))
+class Encoder:
+    """Ids of texts as little-endian unsigned 32-bit numbers.
 
-    def spaced(self, part: str) -> bytes:
-        if part.isascii() and part.isalpha():
-            return self.pieces[" " + part]
-        return self.part(" " + part)
+    Texts are cut into pre-tokens by array operations; each different one is
+    merged by the library's model once, and kept. Texts with special strings are
+    the library's altogether.
+    """
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if any(x in text for x in self.special) or DOUBLE.search(text) or ODD.search(text):
-            return self.ids(text)
-        out, first_of, rest_of = [], self.firsts.__getitem__, self.rest.__getitem__
-        for line in text.split("\n"):
-            first, blank, rest = line.partition(" ")
-            out.append((first_of(first) if first else b"") + (b"".join(map(rest_of, rest.split(" "))) if blank else b""))
-        return self.line_end.join(out)
+    def __init__(self, tokenizer, kinds: np.ndarray):
+        self.tokenizer, self.merge, self.characters, self.kinds = tokenizer, tokenizer.model.tokenize, byte_characters(), kinds
+        self.odd = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
+        self.pieces = Kept(self.piece)
 
+    def piece(self, piece: bytes) -> bytes:
+        return array("I", [t.id for t in self.merge(piece.decode("latin-1").translate(self.characters))]).tobytes()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out, own, size = [np.zeros(0, "<u4")] * len(texts), [], 0
+        for k, x in enumerate(texts):
+            if any(o in x for o in self.odd):
+                out[k] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4")
+            elif x:
+                own.append(k)
+                size += len(x)
+            if own and (size > CHUNK or k == len(texts) - 1):
+                for j, ids in zip(own, self.together([texts[j] for j in own]), strict=True):
+                    out[j] = ids
+                own, size = [], 0
+        return out
 
-_ENCODERS: dict[int, Encoder] = {}
+    def together(self, texts: list[str]) -> list[np.ndarray]:
+        import pyarrow as pa
+
+        whole = "".join(texts)
+        points, data = np.frombuffer(whole.encode("utf-32-le"), "<u4"), whole.encode()
+        starts = np.cumsum([0, *map(len, texts[:-1])])
+        first = np.zeros(len(points), bool)
+        first[starts] = True
+        at = np.flatnonzero(pre_tokens(points, self.kinds[points], first))
+        text_at = np.searchsorted(at, starts)  # each text's first pre-token
+        if len(data) > len(points):
+            width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+            at = (np.cumsum(width) - width)[at]
+        offsets = np.append(at, len(data)).astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        own = list(map(self.pieces.__getitem__, found.dictionary.to_pylist()))
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        ids, begin, which = np.frombuffer(b"".join(own), "<u4"), np.cumsum(size) - size, found.indices.to_numpy()
+        n = size[which]
+        end = np.cumsum(n)
+        flat = ids[np.repeat(begin[which] - end + n, n) + np.arange(int(end[-1]))]
+        return np.split(flat, (end - n)[text_at[1:]])
 
 
 def encoder(kept) -> Encoder:
     from tokenizers import Tokenizer
 
-    data = kept.value
-    if (key := zlib.crc32(data)) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(Tokenizer.from_str(data.decode()))
-    return _ENCODERS[key]
+    data, kinds = kept.value
+    return held(("packing", hashlib.sha256(data).digest()), lambda: Encoder(Tokenizer.from_str(data.decode()), kinds))
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, ids (null unless with_ids): a row for each piece."""
-    kept = docs.sparkSession.sparkContext.broadcast(file_bytes(tokenizer_path))
+    kept = docs.sparkSession.sparkContext.broadcast((file_bytes(tokenizer_path), classes()))
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
         enc = encoder(kept)
         for batch in batches:
-            rows = []
-            for i, x in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = enc.encode(x) + end
+            row, piece, start, length, crc, data = ([] for _ in range(6))
+            for r, own_ids in enumerate(enc.encode(batch.column(1).to_pylist())):
+                ids = own_ids.tobytes() + end
                 n = len(ids) // 4
                 at = 0
                 for k in range(-(-n // capacity)):
                     size = (n % capacity or capacity) if k == 0 else capacity
                     own = ids[4 * at : 4 * (at + size)]
-                    rows.append((i, k, at, size, zlib.crc32(own), own if with_ids else None))
+                    row.append(r)
+                    piece.append(k)
+                    start.append(at)
+                    length.append(size)
+                    crc.append(zlib.crc32(own))
+                    data.append(own if with_ids else None)
                     at += size
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
-
-    # nullable ids survive pandas as text
-    return (
-        docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        .mapInPandas(_typed(run), PIECES)
-    )
-
-
-def _typed(run):
-    def typed(batches):
-        def read():
-            for b in batches:
-                b["doc_id"] = [None if x is None else int(x) for x in b["doc_id"]]
-                b["doc_id"] = b["doc_id"].astype("object")
-                yield b
-
-        yield from run(read())
+            columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc)), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+        trim()
 
-    return typed
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, PIECES)
 
 
 class Bins:
@@ -262,6 +304,7 @@ ISLE = "kind int, island long, bin long, at int, item long, size int, pattern ar
 
 def _epoch(capacity: int, generations: int, islands: int, elite: int):
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        release()
         island = int(key[0])
         own = rows[rows["kind"] == 0].sort_values("item", kind="stable")
         if own.empty:

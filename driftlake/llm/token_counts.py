@@ -10,6 +10,7 @@ size, so memory does not grow with the corpus.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import file_bytes
+from ._common import file_bytes, held, trim
 
 #: Entries a worker keeps of each kind.
 KEPT = 250_000
@@ -89,22 +90,16 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, doc_id
         counter = _counter(kept)
         for texts in batches:
             yield pd.Series([counter.count(x) for x in texts], dtype="int64")
+        trim()
 
     udf = F.pandas_udf(run, "long")
     body = F.coalesce(F.col(text), F.lit(""))
     return docs.select(F.col(doc_id).alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), udf(body).alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-_COUNTERS: dict[int, Counter] = {}
-
-
 def _counter(kept) -> Counter:
     """One for each worker and vocabulary: later tasks find the dictionaries filled."""
     from tokenizers import Tokenizer
 
     data, whole = kept.value
-    key = hash((len(data), data[:100], data[-1000:]))
-    if key not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[key] = Counter(Tokenizer.from_str(data), whole)
-    return _COUNTERS[key]
+    return held(("tokens", hashlib.sha256(data.encode()).digest()), lambda: Counter(Tokenizer.from_str(data), whole))
