@@ -10,6 +10,7 @@ import contextlib
 import gc
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,24 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+BLANK_BYTES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def words_of(texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """All texts' words, with A-Z lower-cased: the number of each one among the different words; these; and where each text's words start (one more at the end)."""
+    import pyarrow as pa
+
+    data = [x.encode() for x in texts]
+    raw = np.frombuffer(b"\n".join(data).translate(ASCII_LOWER), np.uint8)
+    text_at = np.cumsum([0, *(len(x) + 1 for x in data)])
+    at = np.flatnonzero(~BLANK_BYTES[raw])
+    start = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    offsets = np.append(start, len(at)).astype(np.int32)
+    letters = np.ascontiguousarray(raw[at])
+    found = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_pylist(), np.searchsorted(at[start], text_at)
+
+
 class Kept(dict):
     """What a worker has computed, in two generations of at most `most` entries: full, the older one goes.
 

@@ -1,48 +1,48 @@
 """Operator 8: language-model scores from a log-frequency Bloom filter.
 
-1. Words are counted over all training documents, exactly.
-2. Word pairs are counted as 64-bit hashes: each task sorts and sums its own and
-   sends them as packed runs by hash range; each range is merged by itself.
-3. A pair seen c times has a level of about 2 log2(c), 1 at least; the filter holds
-   the pair with each number from 1 to its level. Every hash range has a block of
-   its own, so blocks are made in parallel. Words below the most frequent have a
-   filter alike.
-4. Workers hold the blocks and probe a pair with 1, 2, ... until one is missing;
-   each text's word counts and pair levels are written as two arrays of codes.
-5. P(w|h) = a pair's share of its history's count, mixed with the smoothed share
-   of the word; weights by frequency of the history, fitted by EM on all training
-   words less themselves: on sums by history and quantised ratio of both shares.
-
-Blocks are broadcast in groups of at most `most_bytes`; more groups mean more
-passes, each of which adds the codes that lie in its blocks.
+1. Texts are taken in runs of a few MB. A run sends its different n-grams of each
+   order, as sorted 64-bit hashes with their counts in training texts (0: only in
+   held-out ones), packed by hash range.
+2. The task of a range sums up the counts. Those of single words stay exact, as
+   the base score needs them. Pairs and triples go into the range's block of the
+   filter: an n-gram seen c times has a level of about 2 log2(c), 1 at least, and
+   the block holds it with each number from 1 to its level.
+3. The runs' n-grams are probed in the same task, with 1, 2, ... until one is
+   missing, and each run gets back its levels in the order in which it asked.
+4. P(w|u,v) is the triple's share of (u,v), mixed with the pair's share of v, mixed
+   with the smoothed share of the word. The weights depend on the level of the
+   history and are fitted by EM on all training words, each less itself, on sums
+   by level and quantised ratio of the two shares.
+
+A filter over all n-grams grows with the corpus, so it is not broadcast: its
+blocks stay where they were made and the probes come to them. No step depends on
+how rows lie in partitions, so scores don't either.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import zip_longest
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ASCII_LOWER, Scratch, crc_mod
+from ._common import Scratch, crc_mod, release, trim, words_of
 
-#: The end of a text, which no word can be, and the hash of a start.
-END, START = b"\n", np.uint64(0x5151515151515151)
-KEPT, CHUNK, LEVELS, PROBES, BITS = 150_000, 2 << 20, 96, 5, 8.7
-#: Ratios of the two shares are told apart by steps of an octave's sixteenth, from 2**-256 on.
+if TYPE_CHECKING:
+    import pyarrow as pa
+
+#: The end of a text, which no word can be, and the hashes of a start and of two.
+END, START, START2 = b"\n", np.uint64(0x5151515151515151), np.uint64(0x2E2E2E2E2E2E2E2E)
+#: Code points in a run; highest level; probes for each number; bits for each number held.
+CHUNK, LEVELS, PROBES, BITS = 5 << 20, 96, 5, 14.0
+#: Ratios of two shares are told apart by steps of an octave's sixteenth, from 2**-256 on.
 STEPS, RATIOS = 16, 8192
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def tokens(text: str | None) -> list[bytes]:
-    out = (text or "").encode().translate(ASCII_LOWER).split()
-    out.append(END)
-    return out
+WORD, PAIR, TRIPLE = 1, 2, 3
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,7 +58,8 @@ def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def level_of(count: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor(2 * np.log2(count) + 1e-9), 1, LEVELS).astype(np.int64)
+    """0 for none."""
+    return np.where(count > 0, np.clip(np.floor(2 * np.log2(np.maximum(count, 1)) + 1e-9), 1, LEVELS), 0).astype(np.int64)
 
 
 def count_of() -> np.ndarray:
@@ -70,376 +71,335 @@ def count_of() -> np.ndarray:
     return np.array(out)
 
 
-def places(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        x = mix(keys + np.uint64(level * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
-        return x, mix(x) | np.uint64(1)
-
-
-def positions(keys: np.ndarray, level: int, bits: np.uint64) -> Iterator[np.ndarray]:
-    x, step = places(keys, level)
-    for k in range(PROBES):
-        yield (x + np.uint64(k) * step) % bits
-
+VALUES = count_of()
 
-def make_block(keys: np.ndarray, levels: np.ndarray, first: int) -> np.ndarray:
-    """The filter of keys with each number from `first` to their level."""
-    bits = max(64, int(BITS * np.maximum(levels - first + 1, 0).sum()) // 8 * 8 + 8)
-    out = np.zeros(bits, bool)
-    for level in range(first, int(levels.max(initial=0)) + 1):
-        for at in positions(keys[levels >= level], level, np.uint64(bits)):
-            out[at] = True
-    return np.packbits(out, bitorder="little")
 
+class Block:
+    """The filter of one hash range."""
 
-class Blocks:
-    """Filters side by side; each key is probed in the block of its hash range."""
+    def __init__(self, data: np.ndarray):
+        self.data, self.bits = data, np.uint64(8 * len(data))
 
-    def __init__(self, blocks: dict[int, bytes], ranges: int, first: int, low: bool = False):
-        self.first, self.ranges, self.low = first, ranges, low
-        self.data = np.frombuffer(b"".join(blocks[k] for k in sorted(blocks)), np.uint8)
-        self.start, self.bits = np.zeros(ranges, np.int64), np.zeros(ranges, np.uint64)
-        at = 0
-        for k in sorted(blocks):
-            self.start[k], self.bits[k] = at, 8 * len(blocks[k])
-            at += len(blocks[k])
+    @staticmethod
+    def places(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(over="ignore"):
+            x = mix(keys + np.uint64(level * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+            return x, mix(x) | np.uint64(1)
 
-    def range_of(self, keys: np.ndarray) -> np.ndarray:
-        return range_of(keys, self.ranges)
+    @classmethod
+    def of(cls, keys: np.ndarray, levels: np.ndarray, bits_each: float = BITS) -> Block:
+        """Of keys with each number from 1 to their level."""
+        bits = max(64, int(bits_each * levels.sum()) // 8 * 8 + 8)
+        out = np.zeros(bits, bool)
+        for level in range(1, int(levels.max(initial=0)) + 1):
+            x, step = cls.places(keys[levels >= level], level)
+            with np.errstate(over="ignore"):
+                for n in range(PROBES):
+                    out[(x + np.uint64(n) * step) % np.uint64(bits)] = True
+        return cls(np.packbits(out, bitorder="little"))
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key: the last number before one that is missing."""
-        keys, back = np.unique(keys, return_inverse=True)
-        out = np.zeros(len(keys), np.int64)
-        own = self.range_of(keys)
-        left = np.flatnonzero(self.bits[own] > 0)
-        k, base, bits = self.within(keys[left]), self.start[own[left]], self.bits[own[left]]
-        level = self.first
+        out, left, k, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), keys, 1
         while len(left) and level <= LEVELS:
             there = np.arange(len(left))
-            x, step = places(k, level)
+            x, step = self.places(k, level)
             for n in range(PROBES):
-                at = ((x + np.uint64(n) * step) % bits[there]).astype(np.int64)
-                found = (self.data[base[there] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
+                with np.errstate(over="ignore"):
+                    at = (x + np.uint64(n) * step) % self.bits
+                found = (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 there, x, step = there[found], x[found], step[found]
-            left, k, base, bits = left[there], k[there], base[there], bits[there]
+            left, k = left[there], k[there]
             out[left] = level
             level += 1
-        return out[back]
-
-    def within(self, keys: np.ndarray) -> np.ndarray:
-        """What the filters hold of a key: all of it or, as runs do, the 32 bits after its range."""
-        return (keys << np.uint64(self.ranges.bit_length() - 1)) >> np.uint64(32) if self.low else keys
+        return out
 
 
 def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
     return (keys >> np.uint64(64 - (ranges.bit_length() - 1))).astype(np.int64) if ranges > 1 else np.zeros(len(keys), np.int64)
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers, byte by byte of each and compressed."""
+def packed(values: np.ndarray, kind: str = "<u4") -> bytes:
+    """Unsigned numbers, byte by byte of each and compressed."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    raw = values.astype(kind)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.view(np.uint8).reshape(-1, raw.itemsize).T).tobytes())
 
 
-def unpacked(data: bytes) -> np.ndarray:
+def unpacked(data: bytes, kind: str = "<u4") -> np.ndarray:
     import zstandard
 
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
-
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
-def runs_of(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes, bytes, int]]:
-    """(range, packed steps of the next 32 bits, packed counts, number) for sorted, summed keys."""
-    keys, counts = np.unique(keys, return_counts=True)
-    own = range_of(keys, ranges)
-    fine = ((keys << np.uint64(ranges.bit_length() - 1)) >> np.uint64(32)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(own, prepend=-1))
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True):
-        yield int(own[a]), packed(np.diff(fine[a:b], prepend=0)), packed(counts[a:b]), b - a
 
+def short(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """The 32 bits after a hash's range, by which pairs and triples are told apart inside it."""
+    return (keys << np.uint64(ranges.bit_length() - 1)) >> np.uint64(32)
 
-class Words(dict):
-    """Tokens to rows of tables: hash, code of the count.
 
-    A code is a level, or for the most frequent words LEVELS + 1 and more: a place in `exact`.
-    """
+def hashes(codes: np.ndarray, word_hash: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 64-bit hashes of the word, the pair and the triple that end at each token. n: tokens of each text."""
+    word, starts = word_hash[codes], np.cumsum(n) - n
+    before = np.roll(word, 1)
+    before[starts] = START
+    pair = pair_hash(before, word)
+    history = np.roll(pair, 1)
+    history[starts] = START2
+    return word, pair, pair_hash(history, word)
 
-    def __init__(self, head: dict[bytes, int], tail: Blocks | None = None):
-        self.head, self.tail, self.exact = head, tail, exact_counts(head)
-        self.reset()
 
-    def reset(self) -> None:
-        self.clear()
-        self.new: list[bytes] = []
-        self.hash, self.code = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+RUNS = "kind int, run long, range int, n long, keys binary, counts binary, ids array<long>, held array<boolean>, sizes array<long>"
 
-    def __missing__(self, token: bytes) -> int:
-        k = self[token] = len(self)
-        self.new.append(token)
-        return k
 
-    def settle(self) -> None:
-        if not self.new:
-            return
-        import xxhash
+def _runs(ranges: int):
+    """Rows of kind 0 (a run's texts: ids, words) and WORD, PAIR, TRIPLE (its n-grams of a range)."""
+    import pyarrow as pa
 
-        keys = np.fromiter(map(xxhash.xxh64_intdigest, self.new), np.uint64, len(self.new))
-        exact = np.fromiter((self.head.get(t, -1) for t in self.new), np.float64, len(self.new))
-        rest = np.flatnonzero(exact < 0)
-        code = LEVELS + 1 + np.searchsorted(self.exact, exact)
-        code[rest] = self.tail.levels(keys[rest]) if self.tail else 0
-        self.hash, self.code = np.concatenate([self.hash, keys]), np.concatenate([self.code, code.astype(np.uint32)])
-        self.new = []
-
-    def rows(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        if len(self) > KEPT:
-            self.reset()
-        out = [np.fromiter(map(self.__getitem__, x), np.int64, len(x)) for x in texts]
-        self.settle()
-        return out
+    types = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
+    schema = pa.schema([(c.split()[0], t) for c, t in zip(RUNS.split(", "), types, strict=True)])
 
+    def emit(run: int, texts: list[str], ids: list, held: list[bool]) -> pa.RecordBatch:
+        import xxhash
 
-def exact_counts(head: dict[bytes, int]) -> np.ndarray:
-    return np.unique(np.fromiter(head.values(), np.float64, len(head)))
+        found, words, begin = words_of(texts)
+        n = np.diff(begin) + 1
+        ends = np.cumsum(n) - 1
+        codes = np.empty(int(n.sum()), np.int64)
+        codes[ends] = len(words)
+        within = np.ones(len(codes), bool)
+        within[ends] = False
+        codes[within] = found
+        words.append(END)
+        # numbered by hash, so that answers come in this order
+        word_hash = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        order = np.argsort(word_hash)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        codes, word_hash = place[codes], word_hash[order]
+        learnt = np.repeat(~np.array(held, bool), n)
+        rows = [(0, run, -1, len(codes), packed(codes), packed(word_hash, "<u8"), ids, held, n.tolist())]
+        for kind, keys in zip((WORD, PAIR, TRIPLE), hashes(codes, word_hash, n), strict=True):
+            if kind == WORD:
+                keys, counts = word_hash, np.bincount(codes, learnt, len(word_hash))
+            else:
+                keys, inverse = np.unique(keys, return_inverse=True)
+                counts = np.bincount(inverse, learnt, len(keys))
+            own, counts = range_of(keys, ranges), counts.astype(np.int64)
+            cuts = np.flatnonzero(np.diff(own, prepend=-1))
+            fine = keys if kind == WORD else short(keys, ranges)
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True):
+                rows.append((kind, run, int(own[a]), b - a, packed(np.diff(fine[a:b], prepend=np.uint64(0)), "<u8" if kind == WORD else "<u4"), packed(counts[a:b]), None, None, None))
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        release()
+        number = TaskContext.get().partitionId() << 20
+        texts, ids, held, size = [], [], [], 0
+        for batch in batches:
+            for i, x, h in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                texts.append(x)
+                ids.append(i)
+                held.append(h)
+                size += len(x) + 16
+                if size > CHUNK:
+                    yield emit(number, texts, ids, held)
+                    texts, ids, held, size, number = [], [], [], 0, number + 1
+        if texts:
+            yield emit(number, texts, ids, held)
+        trim()
+
+    return run
+
+
+ANSWERS = "kind int, run long, range int, n long, total long, data binary"
+
+
+def _answers(bits_each: float):
+    def run(key, runs: pd.DataFrame) -> pd.DataFrame:
+        """The range's block (run -1; of words none) and, for each run, counts of its words or levels of its pairs or triples."""
+        kind, exact = int(key[0]), int(key[0]) == WORD
+        keys = [np.cumsum(unpacked(x, "<u8" if exact else "<u4").astype(np.uint64)) for x in runs["keys"]]
+        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([unpacked(x) for x in runs["counts"]])).astype(np.int64)
+        seen = total > 0
+        rows = []
+        if exact:
+            answer, block = total, None
+        else:
+            made = Block.of(every[seen], level_of(total[seen].astype(np.float64)), bits_each)
+            answer, block = made.levels(every), made.data.tobytes()
+        rows.append((kind, -1, int(key[1]), int(seen.sum()), int(total.sum()), block))
+        at = 0
+        for number, k in zip(runs["run"], keys, strict=True):
+            own = answer[inverse[at : at + len(k)]]
+            rows.append((kind, int(number), int(key[1]), len(k), 0, packed(own, "<u8" if exact else "u1")))
+            at += len(k)
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in ANSWERS.split(", ")])
+
+    return run
+
+
+READ = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, counts binary, pairs binary, triples binary"
+
+
+def _assemble(divisor: float):
+    """A run's texts, with the count of each token and the levels of its pair and triple."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        import pyarrow as pa
+
+        own = rows.filter(pa.compute.equal(rows["kind"], 0)).to_pylist()[0]
+        answers = rows.filter(pa.compute.greater(rows["kind"], 0)).select(["kind", "range", "data"]).sort_by([("kind", "ascending"), ("range", "ascending")]).to_pylist()
+        found = {k: np.concatenate([unpacked(x["data"], "<u8" if k == WORD else "u1") for x in answers if x["kind"] == k]) for k in (WORD, PAIR, TRIPLE)}
+        codes, n = unpacked(own["keys"]).astype(np.int64), np.array(own["sizes"], np.int64)
+        _, pair, triple = hashes(codes, unpacked(own["counts"], "<u8"), n)
+        count = found[WORD].astype(np.int64)[codes]
+        pairs, triples = (found[k][np.unique(keys, return_inverse=True)[1]] for k, keys in ((PAIR, pair), (TRIPLE, triple)))
+        starts = np.cumsum(n) - n
+        base = np.add.reduceat(np.log10((count + 0.1) / divisor), starts)
+        cuts = list(zip(starts.tolist(), (starts + n).tolist(), strict=True))
+        out = {
+            "doc_id": pa.array(own["ids"], pa.int64()), "held_out": pa.array(own["held"], pa.bool_()), "n_tokens": pa.array(n),
+            "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)), "base_score": pa.array(base),
+            "counts": pa.array([packed(count[a:b], "<u8") for a, b in cuts], pa.binary()),
+            "pairs": pa.array([pairs[a:b].tobytes() for a, b in cuts], pa.binary()), "triples": pa.array([triples[a:b].tobytes() for a, b in cuts], pa.binary()),
+        }
+        return pa.table(out)
+
+    return run
+
+
+def share(count: np.ndarray, history: np.ndarray, less: int = 0) -> np.ndarray:
+    """An n-gram's part of its history, each seen `less` times less."""
+    own = np.maximum(np.minimum(count, history) - less, 0)
+    return np.where(history - less > 0, own / np.maximum(history - less, 1), 0)
+
+
+class Mixture:
+    """Probabilities of the tokens of whole texts. texts: how many training texts there are; weights: by kind, for each level of the history."""
+
+    def __init__(self, texts: float, divisor: float, weights: dict[int, np.ndarray]):
+        self.texts, self.divisor, self.weights = texts, divisor, weights
+
+    def shares(self, n: np.ndarray, count: np.ndarray, pairs: np.ndarray, triples: np.ndarray, less: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(kind, level of the history, share, probability by shorter histories) of pairs and, if pairs have weights, of triples."""
+        starts = np.cumsum(n) - n
+        lower = np.maximum(count - less, 0) + 0.1
+        lower = lower / self.divisor
+        history = np.roll(count, 1).astype(np.float64)
+        history[starts] = self.texts
+        longer = np.roll(VALUES[pairs], 1)
+        longer[starts] = self.texts
+        for kind, seen, before in ((PAIR, pairs, history), (TRIPLE, triples, longer)):
+            level, own = level_of(before), share(VALUES[seen], before, less)
+            yield kind, level, own, lower
+            if kind not in self.weights:
+                return
+            rate = self.weights[kind][level]
+            lower = rate * own + (1 - rate) * lower
+        yield 0, level, own, lower
 
 
-def chunks(frame: pd.DataFrame, size: pd.Series | None = None) -> Iterator[pd.DataFrame]:
-    """Rows of a batch by a few MB of text."""
-    size = (frame["text"].str.len().fillna(0) if size is None else size).cumsum() // CHUNK
-    for _, part in frame.groupby(size.to_numpy(), sort=True):
-        yield part
+def cell_of(ratio: np.ndarray) -> np.ndarray:
+    """The step of each ratio; 0 for none."""
+    step = np.floor(STEPS * np.log2(np.where(ratio > 0, ratio, 1))).astype(np.int64) + RATIOS // 2
+    return np.where(ratio > 0, np.clip(step, 1, RATIOS - 1), 0)
 
 
-def neighbours(rows: list[np.ndarray], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts' tokens in a row, where each text starts and the pairs' hashes."""
-    flat = np.concatenate(rows)
-    starts = np.cumsum([0, *map(len, rows[:-1])])
-    h = words.hash[flat]
-    before = np.roll(h, 1)
-    before[starts] = START
-    return flat, starts, pair_hash(before, h)
+def fitted(cell: np.ndarray, n: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """For each level of the history, the weight of the longer share that makes the training words likeliest. cell: level * RATIOS + step; n: how many words."""
+    out = np.zeros(LEVELS + 1)
+    level, step = cell // RATIOS, cell % RATIOS
+    ratio = np.where(step > 0, 2.0 ** ((step - RATIOS // 2 + 0.5) / STEPS), 0)
+    for b in np.unique(level).tolist():
+        r, m = ratio[level == b], n[level == b].astype(np.float64)
+        weight = 0.5
+        for _ in range(rounds):
+            weight = float((m * weight * r / (weight * r + 1 - weight)).sum() / m.sum())
+        out[b] = min(weight, 0.999)
+    return out
 
 
-def shares(levels: np.ndarray, history: np.ndarray, values: np.ndarray, less: int = 0) -> np.ndarray:
-    count = np.maximum(np.minimum(values[levels], history) - less, 0)
-    return np.where(history - less > 0, count / np.maximum(history - less, 1), 0)
+def _arrays(part: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = np.array(part["n_tokens"], np.int64)
+    count = np.concatenate([unpacked(x, "<u8") for x in part["counts"]]).astype(np.int64)
+    return n, count, np.frombuffer(b"".join(part["pairs"]), np.uint8).astype(np.int64), np.frombuffer(b"".join(part["triples"]), np.uint8).astype(np.int64)
 
 
-def bin_of(history: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(history, 1)).astype(np.int64), 31)
+def _parts(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[dict]:
+    """Rows of a batch by about so many tokens."""
+    group = np.cumsum(batch.column("n_tokens").to_numpy()) // most
+    cuts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+        yield batch.slice(a, b - a).to_pydict()
 
 
-def score(docs: DataFrame, most_frequent: int = 200_000, longest: int = 64, most_bytes: int = 128 << 20, pairs_in_range: int = 2_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, in_range: int = 2_000_000, bits_each: float = BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Learns from rows whose crc32(doc_id) mod 10 is not 0 (a null id counts as
     the empty text). A null or empty text is the end token alone. Repeated rows
     count each. With no training rows every count is 0. Other columns are not
-    read. The model's score takes word counts below the `most_frequent` from a
-    filter; n_known and base_score are exact, by a join of the rarer words.
+    read; an empty table gives no rows. n_known and base_score are exact; the
+    model's pairs and triples come from a filter, all of them, seen once too.
+    `in_range` is about how many tokens a hash range has, `bits_each` the filter's
+    bits for each number it holds.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (crc_mod(doc_id, 10) == 0).alias("held_out"))
-    train = slim.where(~F.col("held_out")).select("rid", "text")
-
-    def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for x in batch["text"]:
-                seen.update(tokens(x))
-                if len(seen) > KEPT:
-                    yield pd.DataFrame({"token": list(seen), "n": list(seen.values())})
-                    seen.clear()
-        yield pd.DataFrame({"token": list(seen), "n": list(seen.values())})
-
-    counts = scratch.write(train.select("text").mapInPandas(count_words, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c")))
-    # how many words have which frequency: at most some hundred rows
-    eighth = F.floor(8 * F.log2("c")).cast("int")
-    by_rate = counts.groupBy(eighth.alias("r")).agg(F.count("*").alias("words"), F.sum("c").alias("c"), F.min("c").alias("least")).orderBy(F.desc("r")).collect()
-    total, different = sum(r["c"] for r in by_rate), sum(r["words"] for r in by_rate)
-    least, n = float("inf"), 0
-    for r in by_rate:
-        if (n := n + r["words"]) > most_frequent:
-            break
-        least = r["least"]
-    least = int(least) if least < float("inf") else (1 << 62)
-    frequent = (F.col("c") >= least) & (F.octet_length("token") <= longest) | (F.col("token") == F.lit(bytearray(END)))
-    head = {bytes(t): int(c) for t, c in counts.where(frequent).select("token", "c").toPandas().itertuples(index=False)}
-
-    def power(n: float) -> int:
-        return 1 << max(4, math.ceil(math.log2(max(1.0, n))))
-
-    # the rarer words' filter, in hash ranges of its own
-    word_ranges = power(different / pairs_in_range)
-
-    def word_blocks(key, frame: pd.DataFrame) -> pd.DataFrame:
-        import xxhash
-
-        keys = np.fromiter(map(xxhash.xxh64_intdigest, frame["token"]), np.uint64, len(frame))
-        return pd.DataFrame({"range": [int(key[0])], "block": [make_block(keys, level_of(frame["c"].to_numpy(np.float64)), 1).tobytes()], "n": [len(frame)]})
-
-    @F.pandas_udf("int")
-    def word_range(t: pd.Series) -> pd.Series:
-        import xxhash
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (crc_mod(doc_id, 10) == 0).alias("held"))
+    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = 1 << max(4, int(size / 6 / in_range).bit_length())
+    parts = scratch.write(slim.mapInArrow(_runs(ranges), RUNS), "kind")
+    asked = parts.where("kind > 0").select("kind", "run", "range", "n", "keys", "counts")
+    answers = scratch.write(asked.groupBy("kind", "range").applyInPandas(_answers(bits_each), ANSWERS))
+    made = answers.where(F.col("run") < 0)
+    total, different = made.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    divisor = total + 0.1 * (different + 1)
+    texts = slim.where(~F.col("held")).count()
 
-        return pd.Series(range_of(np.fromiter(map(xxhash.xxh64_intdigest, t), np.uint64, len(t)), word_ranges))
+    own = parts.where("kind = 0").select("kind", "run", "range", "keys", "counts", "ids", "held", "sizes", F.lit(None).cast("binary").alias("data"))
+    back = answers.where(F.col("run") >= 0).select("kind", "run", "range", *[F.lit(None).cast(own.schema[c].dataType).alias(c) for c in ("keys", "counts", "ids", "held", "sizes")], "data")
+    read = scratch.write(own.unionByName(back).groupBy("run").applyInArrow(_assemble(divisor), READ))
 
-    rare = counts.where(~frequent).withColumn("range", word_range("token"))
-    tail_blocks = scratch.write(rare.groupBy("range").applyInPandas(word_blocks, "range int, block binary, n long"))
+    weights: dict[int, np.ndarray] = {}
+    for kind in (PAIR, TRIPLE):
+        now = Mixture(float(texts), divisor, dict(weights))
 
-    # pairs: packed runs by hash range, then a block for each range
-    ranges = power(total / pairs_in_range)
+        def observe(batches: Iterator[pa.RecordBatch], kind=kind, now=now) -> Iterator[pa.RecordBatch]:
+            import pyarrow as pa
 
-    def count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, held, size = Words({}), [], 0
-        for batch in batches:
-            for part in chunks(batch):
-                held.append(neighbours(words.rows([tokens(x) for x in part["text"]]), words)[2])
-                size += len(held[-1])
-                if size > 1_500_000:
-                    yield pd.DataFrame(list(runs_of(np.concatenate(held), ranges)), columns=["range", "keys", "counts", "n"])
-                    held, size = [], 0
-        if held:
-            yield pd.DataFrame(list(runs_of(np.concatenate(held), ranges)), columns=["range", "keys", "counts", "n"])
-
-    def pair_blocks(key, frame: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.cumsum(unpacked(x).astype(np.uint64)) for x in frame["keys"]])
-        weight = np.concatenate([unpacked(x) for x in frame["counts"]]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        keys, weight = keys[order], weight[order]
-        first = np.flatnonzero(np.diff(keys, prepend=np.uint64(1 << 63)))
-        count = np.add.reduceat(weight, first)
-        return pd.DataFrame({"range": [int(key[0])], "block": [make_block(keys[first], level_of(count.astype(np.float64)), 1).tobytes()], "n": [len(first)]})
-
-    blocks = scratch.write(train.select("text").mapInPandas(count_pairs, "range int, keys binary, counts binary, n long").groupBy("range").applyInPandas(pair_blocks, "range int, block binary, n long"))
-
-    def groups_of(blocks: DataFrame, most: int) -> list[list[int]]:
-        groups, room = [], 0
-        for r in blocks.select("range", F.octet_length("block").alias("s")).orderBy("range").collect():
-            if not groups or room + r["s"] > most:
-                groups.append([])
-                room = 0
-            groups[-1].append(r["range"])
-            room += r["s"]
-        return groups
-
-    sc = spark.sparkContext
-    shared = sc.broadcast(head)
-
-    def part_of(blocks: DataFrame, names: list[int]) -> dict[int, bytes]:
-        if not names:
-            return {}
-        near = blocks.where(F.col("range").between(names[0], names[-1])).select("range", "block")
-        return {r["range"]: bytes(r["block"]) for r in near.collect()}
-
-    passes = []
-    # each pass has one group of words and one of pairs, as long as there are any
-    groups = zip_longest(groups_of(tail_blocks, most_bytes // 2), groups_of(blocks, most_bytes), fillvalue=[])
-    for number, (word_names, names) in enumerate([*groups] or [([], [])]):
-        group = sc.broadcast((Blocks(part_of(tail_blocks, word_names), word_ranges, 1), Blocks(part_of(blocks, names), ranges, 1, low=True)))
-
-        def probe(batches: Iterator[pd.DataFrame], group=group, number=number) -> Iterator[pd.DataFrame]:
-            words, pairs = Words(shared.value, group.value[0]), group.value[1]
+            seen = np.zeros((LEVELS + 1) * RATIOS, np.int64)
             for batch in batches:
-                for part in chunks(batch):
-                    texts = [tokens(x) for x in part["text"]]
-                    flat, starts, keys = neighbours(words.rows(texts), words)
-                    codes, levels = words.code[flat], pairs.levels(keys).astype(np.uint8)
-                    frequent = codes > LEVELS
-                    if number:
-                        codes[frequent] = 0  # the first pass has them
-                    cuts = [*zip(starts.tolist(), [*starts[1:].tolist(), len(flat)], strict=True)]
-                    out = {"rid": part["rid"], "codes": [codes[a:b].astype("<u4").tobytes() for a, b in cuts], "levels": [levels[a:b].tobytes() for a, b in cuts]}
-                    if number == 0:
-                        tails = [Counter(x[i] for i in np.flatnonzero(~frequent[a:b]).tolist()) for x, (a, b) in zip(texts, cuts, strict=True)]
-                        out |= {"doc_id": part["doc_id"], "held_out": part["held_out"], "n_tokens": [b - a for a, b in cuts]}
-                        out |= {"tail": [list(t) for t in tails], "times": [list(t.values()) for t in tails]}
-                    yield pd.DataFrame(out)
-
-        more = "" if number else ", doc_id string, held_out boolean, n_tokens long, tail array<binary>, times array<long>"
-        passes.append(scratch.write(slim.mapInPandas(probe, "rid long, codes binary, levels binary" + more)))
-        group.destroy()
-
-    read = passes[0].withColumn("others", F.array().cast("array<struct<codes:binary,levels:binary>>"))
-    if passes[1:]:
-        others = passes[1]
-        for x in passes[2:]:
-            others = others.unionByName(x)
-        others = others.groupBy(F.col("rid").alias("r2")).agg(F.collect_list(F.struct("codes", "levels")).alias("others"))
-        read = scratch.write(passes[0].join(others, F.col("rid") == F.col("r2")).drop("r2"))
+                for part in _parts(batch):
+                    for k, level, longer, lower in now.shares(*_arrays(part), less=1):
+                        if k == kind:
+                            seen += np.bincount(level * RATIOS + cell_of(longer / lower), minlength=len(seen))
+            at = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["cell", "n"])
+
+        learnt = read.where(~F.col("held_out")).select("n_tokens", "counts", "pairs", "triples")
+        # at most (LEVELS + 1) * RATIOS rows
+        sums = learnt.mapInArrow(observe, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        weights[kind] = fitted(sums["cell"].to_numpy(np.int64), sums["n"].to_numpy(np.int64))
+    final = Mixture(float(texts), divisor, weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
 
-    divisor = total + 0.1 * (different + 1)
-    scale, values = np.concatenate([count_of(), exact_counts(head)]), count_of()
-    start_count = head.get(END, 0)
-
-    def arrays(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Where each text starts, and all positions' codes, counts, histories' counts and pairs' levels."""
-        starts = np.cumsum(part["n_tokens"].to_numpy()) - part["n_tokens"].to_numpy()
-        codes = np.frombuffer(b"".join(part["codes"]), "<u4")
-        levels = np.frombuffer(b"".join(part["levels"]), np.uint8).astype(np.int64)
-        for k in range(len(part["others"].iloc[0])):
-            codes = codes + np.frombuffer(b"".join(x[k]["codes"] for x in part["others"]), "<u4")
-            levels += np.frombuffer(b"".join(x[k]["levels"] for x in part["others"]), np.uint8)
-        count = scale[codes]
-        history = np.roll(count, 1)
-        history[starts] = start_count
-        return starts, codes, count, history, levels
-
-    def observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(32 * RATIOS, np.int64)
         for batch in batches:
-            for part in chunks(batch, batch["n_tokens"] * 8):
-                _, _, count, history, levels = arrays(part)
-                ratio = shares(levels, history, values, 1) * divisor / np.maximum(count - 1 + 0.1, 0.1)
-                seen += np.bincount(bin_of(history) * RATIOS + cell_of(ratio), minlength=len(seen))
-        at = np.flatnonzero(seen)
-        yield pd.DataFrame({"cell": at, "n": seen[at]})
-
-    learnt = read.where(~F.col("held_out")).select("codes", "levels", "others", "n_tokens")
-    # at most 32 * RATIOS rows
-    weights = _mixture(learnt.mapInPandas(observe, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas())
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part in chunks(batch, batch["n_tokens"] * 8):
-                starts, codes, count, history, levels = arrays(part)
-                single, known = (count + 0.1) / divisor, codes > LEVELS
-                rate = np.where(history > 0, weights[bin_of(history)], 0)
-                model = np.log10(rate * shares(levels, history, values) + (1 - rate) * single)
-                out = {x: part[x] for x in ("rid", "doc_id", "held_out", "n_tokens", "tail", "times")}
-                out["score"] = np.add.reduceat(model, starts)
-                out["known"] = np.add.reduceat(known.astype(np.int64), starts)
-                out["base"] = np.add.reduceat(np.where(known, np.log10(single), 0), starts)
-                yield pd.DataFrame(out)
-
-    result = scratch.write(read.mapInPandas(run, "rid long, doc_id string, held_out boolean, n_tokens long, score double, known long, base double, tail array<binary>, times array<long>"))
-    rarer = result.select("rid", F.inline(F.arrays_zip("tail", "times"))).join(counts.withColumnRenamed("token", "t2"), F.col("tail") == F.col("t2"), "left")
-    sums = rarer.groupBy("rid").agg(F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / divisor)).alias("b2"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("k2")).withColumnRenamed("rid", "r2")
-    both = result.drop("tail", "times").join(sums, F.col("rid") == F.col("r2"), "left")
-    return both.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens",
-        (F.col("known") + F.coalesce("k2", F.lit(0))).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b2", F.lit(0.0))).alias("base_score"), "score",
-    )
-
-
-def cell_of(ratio: np.ndarray) -> np.ndarray:
-    """The step of each ratio; 0 for none."""
-    step = np.floor(STEPS * np.log2(np.where(ratio > 0, ratio, 1))).astype(np.int64) + RATIOS // 2
-    return np.where(ratio > 0, np.clip(step, 1, RATIOS - 1), 0)
-
-
-def _mixture(seen: pd.DataFrame, rounds: int = 30) -> np.ndarray:
-    """For each frequency of the history, the weight of the pair's share that makes the training words likeliest."""
-    out = np.zeros(32)
-    for b, own in seen.groupby(seen["cell"] // RATIOS):
-        cell, n = own["cell"].to_numpy() % RATIOS, own["n"].to_numpy(np.float64)
-        ratio = np.where(cell > 0, 2.0 ** ((cell - RATIOS // 2 + 0.5) / STEPS), 0)
-        weight = 0.5
-        for _ in range(rounds):
-            weight = float((n * weight * ratio / (weight * ratio + 1 - weight)).sum() / n.sum())
-        out[int(b)] = min(weight, 0.999)
-    return out
+            scores = []
+            for part in _parts(batch):
+                n, *arrays = _arrays(part)
+                *_, (_, _, _, model) = final.shares(n, *arrays, less=0)
+                scores.append(np.add.reduceat(np.log10(model), np.cumsum(n) - n))
+            kept = ["doc_id", "held_out", "n_tokens", "n_known", "base_score"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.concatenate([np.zeros(0), *scores]))], [*kept, "score"])
+        trim()
+
+    out = read.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
