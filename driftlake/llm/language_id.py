@@ -125,7 +125,7 @@ class Models:
         """Tells these models from others."""
         import xxhash
 
-        out = xxhash.xxh3_128(repr(self.langs).encode())
+        out = xxhash.xxh3_128(repr((self.langs, sorted(self.limits.items()))).encode())
         for n in self.keys:
             out.update(self.keys[n].tobytes())
             out.update(self.logs[n].tobytes())
