@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import evt
+from ..functions.ordering import running_sums
+from . import evt, knn
 
 
 def top_positives(scored: DataFrame, most: int, score: str = "novelty", label: str = "is_positive", order: str = "id") -> DataFrame:
@@ -23,12 +23,15 @@ def precision_at(scored: DataFrame, ks: list[int], **names: str) -> DataFrame:
     return top.select("rank", "hit", ask).where(F.col("rank") <= F.col("k")).groupBy("k").agg(F.avg("hit").alias("precision"), F.count("*").alias("n"))
 
 
-def lift_curve(scored: DataFrame, most: int, **names: str) -> DataFrame:
-    """k, precision, lift over the base rate, for each k up to `most`; null lift without positives."""
-    base = scored.agg(F.avg(F.col(names.get("label", "is_positive")).cast("double"))).first()[0]
-    top = top_positives(scored, most, **names)
-    running = F.avg("hit").over(W.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
-    return top.select(F.col("rank").alias("k"), running.alias("precision")).withColumn("lift", F.try_divide(F.col("precision"), F.lit(base)))
+def lift_curve(scored: DataFrame, score: str = "novelty", label: str = "is_positive", order: str = "id") -> DataFrame:
+    """k, precision, lift over the base rate, for every k up to the number of rows; null lift without positives. Ties stay in input order."""
+    hits = F.col("hit")
+    rows = scored.select((-F.col(score)).alias("s"), F.col(label).cast("double").alias("hit"), F.col(order).alias("o"))
+    base = rows.agg(F.avg("hit")).first()[0]
+    placed = running_sums(rows, "s", {"better": F.lit(1), "found": hits}, ties=("o",))
+    k = (F.col("better") + 1).cast("long")
+    precision = (F.col("found") + hits) / k
+    return placed.select(k.alias("k"), precision.alias("precision"), F.try_divide(precision, F.lit(base)).alias("lift"))
 
 
 def auroc(scored: DataFrame, groups: list[str] = (), score: str = "novelty", label: str = "is_positive") -> DataFrame:
@@ -38,8 +41,7 @@ def auroc(scored: DataFrame, groups: list[str] = (), score: str = "novelty", lab
     """
     g = list(groups)
     by_score = scored.groupBy(*g, F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("p"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy(*g or [F.lit(0)]).orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = by_score.withColumn("r", before + (F.col("n") + 1) / 2.0)
+    ranked = running_sums(by_score, "s", {"before": F.col("n")}, tuple(g)).withColumn("r", F.col("before") + (F.col("n") + 1) / 2.0)
     sums = ranked.groupBy(*g).agg(F.sum(F.col("r") * F.col("p")).alias("rs"), F.sum("p").alias("n_pos"), F.sum(F.col("n") - F.col("p")).alias("n_neg"))
     pos = F.col("n_pos").cast("double")
     return sums.select(*g, F.try_divide(F.col("rs") - pos * (pos + 1) / 2, pos * F.col("n_neg")).alias("auroc"), "n_pos", "n_neg")
@@ -98,62 +100,25 @@ def histogram(scored: DataFrame, bins: int = 30, score: str = "novelty", label:
     return own.groupBy("y", "bin", "lo", "w", "all").agg(F.count("*").alias("n")).select(F.col("y").alias(label), "bin", (F.col("lo") + F.col("bin") * F.col("w")).alias("bin_lo"), (F.col("n") / (F.col("all") * F.col("w"))).alias("density"), "n")
 
 
-def held_out_families(neighbours: DataFrame, families: DataFrame, k: int, q: float, controls: DataFrame) -> DataFrame:
+def held_out_families(references: DataFrame, families: DataFrame, k: int, q: float, controls: DataFrame) -> DataFrame:
     """family, id, is_positive, novelty: each family scored as if it were unknown, with its controls.
 
-    neighbours: query_id, ref_id, distance, ref_family, query_family: for each
-    reference its nearest others, at least k + the largest family's size. Taking
-    a family's rows out of these lists is the same as a search without it, so no
-    search is repeated. controls: family, id. Each family is calibrated on the
-    references left, in a task of its own.
+    references: id, u, family; families: family, of those to hold out; controls:
+    family, id. Taking a family out changes the neighbours of those references
+    alone that had one of its members among their k nearest, so only these are
+    searched again, without it. Each family is calibrated on the references left.
     """
-    names = families.select(F.col("family").alias("out"))
-    # one row for each reference and family taken out; ranks anew
-    kept = neighbours.join(F.broadcast(names), F.col("ref_family") != F.col("out"))
-    by = W.partitionBy("out", "query_id").orderBy("distance", "ref_id")
-    near = kept.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k).groupBy("out", F.col("query_id").alias("id"), "query_family").agg(F.avg("distance").alias("distance"))
-    chosen = controls.select(F.col("family").alias("out"), "id", F.lit(True).alias("control"))
-    rows = near.join(chosen, ["out", "id"], "left").select(F.col("out").alias("family"), "id", "distance", (F.col("query_family") == F.col("out")).alias("is_positive"), F.coalesce("control", F.lit(False)).alias("control"))
-
-    def score(frame: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        known = frame.loc[~frame["is_positive"], "distance"].to_numpy()
-        fit = evt_fit_local(known, q)
-        out = frame[frame["is_positive"] | frame["control"]]
-        if fit is None:
-            return pd.DataFrame({"family": out["family"], "id": out["id"], "is_positive": out["is_positive"], "novelty": np.full(len(out), np.nan)})
-        return pd.DataFrame({"family": out["family"], "id": out["id"], "is_positive": out["is_positive"], "novelty": evt_score_local(out["distance"].to_numpy(), fit)})
-
-    return rows.groupBy("family").applyInPandas(score, "family long, id long, is_positive boolean, novelty double")
-
-
-def evt_fit_local(distance, q: float) -> dict | None:
-    """`evt.fit_mle` on an array; None with too few excesses."""
-    import numpy as np
-
-    u = float(np.quantile(distance, q)) if len(distance) else 0.0
-    y = distance[distance > u] - u
-    if len(y) < evt.LEAST_EXCEEDANCES:
-        return None
-    low, high, points, levels = evt.GRID
-    most = y.max()
-    for _ in range(levels):
-        step = (high - low) / points
-        s = low + np.arange(points + 1) * step
-        theta = (10.0**s - 1) / most
-        shape = np.log1p(theta[:, None] * y[None, :]).mean(1)
-        with np.errstate(all="ignore"):
-            ll = np.where((np.abs(theta) > 1e-9) & (shape > -1), -len(y) * (np.log(shape / theta) + shape + 1), -np.inf)
-        best = int(ll.argmax())
-        low, high = s[best] - step, s[best] + step
-    return {"u": u, "shape": shape[best], "scale": shape[best] / theta[best], "zeta_u": len(y) / len(distance)}
-
-
-def evt_score_local(distance, fit: dict):
-    import numpy as np
-
-    inner = 1 + fit["shape"] * np.clip(distance - fit["u"], 0, None) / fit["scale"]
-    with np.errstate(all="ignore"):
-        tail = np.where(inner > 0, inner ** (-1 / fit["shape"]), 0.0)
-    return 1 - np.where(distance > fit["u"], fit["zeta_u"] * tail, 1.0)
+    found = knn.nearest(references, references, k, exclude_self=True)
+    own = references.select("id", F.col("family").alias("own"))
+    near = found.join(own.select(F.col("id").alias("ref_id"), F.col("own").alias("near")), "ref_id")
+    usual = found.groupBy(F.col("query_id").alias("id")).agg(F.avg("distance").alias("usual"))
+    touched = near.select(F.col("query_id").alias("id"), F.col("near").alias("out")).distinct().join(families.select(F.col("family").alias("out")), "out", "left_semi")
+    again = knn.nearest(references.join(touched, "id").select("id", "u", "out"), references.select("id", "u", F.col("family").alias("out")), k, exclude_self=True, apart="out")
+    others = again.groupBy(F.col("query_id").alias("id"), F.col("out").alias("family")).agg(F.avg("distance").alias("other"))
+    # every reference once for each family
+    every = usual.join(own, "id").join(F.broadcast(families.select("family")))
+    rows = every.join(others, ["id", "family"], "left").join(touched.select("id", F.col("out").alias("family"), F.lit(True).alias("touched")), ["id", "family"], "left")
+    rows = rows.select("family", "id", F.when(F.col("touched"), F.col("other")).otherwise(F.col("usual")).alias("distance"), (F.col("own") == F.col("family")).alias("is_positive")).where(F.col("distance").isNotNull()).cache()
+    fits = evt.fit_groups(rows.where(~F.col("is_positive")), "family", q)
+    asked = rows.join(controls.select("family", "id", F.lit(True).alias("control")), ["family", "id"], "left").where(F.col("is_positive") | F.col("control"))
+    return asked.join(fits, "family").select("family", "id", "is_positive", evt.novelty(F.col("distance"), {n: F.col(n) for n in ("u", "shape", "scale", "zeta_u")}).alias("novelty"))

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ordering import running_sums
 from ..functions.vectors import gpd_survival
 
 LEAST_EXCEEDANCES = 10
+TOO_FEW = "a tail fit takes {least} distances beyond its threshold or more; beyond {u:.6g} there are {n}: too few"
 #: Grid of log10(1 + theta * max) of the profile likelihood: lowest, highest, points at each level, levels.
 GRID = (-6.0, 3.0, 180, 3)
 
@@ -60,7 +62,7 @@ def fit_mle(calibration: DataFrame, q: float = 0.9) -> dict:
     n_all = calibration.count()
     n, most = y.agg(F.count("y"), F.max("y")).first()
     if n < LEAST_EXCEEDANCES:
-        raise ValueError(f"only {n} exceedances above u={u:.4f}, too few for a stable tail fit")
+        raise ValueError(TOO_FEW.format(n=n, u=u, least=LEAST_EXCEEDANCES))
     low, high, points, levels = GRID
     for _ in range(levels):
         step = (high - low) / points
@@ -74,29 +76,56 @@ def fit_mle(calibration: DataFrame, q: float = 0.9) -> dict:
     return {"u": u, "shape": best["shape"], "scale": best["shape"] / best["theta"], "zeta_u": n / n_all, "n_exceedances": n, "n_calibration": n_all}
 
 
+def fit_groups(calibration: DataFrame, group: str, q: float = 0.9) -> DataFrame:
+    """group, u, shape, scale, zeta_u of each group: `fit_mle` for all groups at once, each step one aggregation.
+
+    Groups with too few excesses are left out. calibration: group, distance.
+    """
+    rows = calibration.select(group, "distance")
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n_all")).withColumn("at", F.lit(float(q)) * (F.col("n_all") - 1))
+    placed = running_sums(rows, "distance", {"before": F.lit(1)}, (group,)).join(sizes, group)
+    first, second = F.floor("at"), F.least(F.floor("at") + 1, F.col("n_all") - 1)
+    at_rank = lambda k: F.min(F.when(F.col("before") == k, F.col("distance")))
+    ends = placed.where((F.col("before") == first) | (F.col("before") == second)).groupBy(group, "n_all", "at").agg(at_rank(first).alias("a"), at_rank(second).alias("b"))
+    cuts = ends.select(group, "n_all", (F.col("a") + (F.col("at") - F.floor("at")) * (F.col("b") - F.col("a"))).alias("u"))
+    y = rows.join(cuts, group).where(F.col("distance") > F.col("u")).select(group, "u", "n_all", (F.col("distance") - F.col("u")).alias("y"))
+    low, high, points, levels = GRID
+    state = y.groupBy(group, "u", "n_all").agg(F.max("y").alias("most"), F.count("*").alias("n")).where(F.col("n") >= LEAST_EXCEEDANCES).select("*", F.lit(low).alias("low"), F.lit(high).alias("high"))
+    names = [group, "u", "n_all", "most", "n"]
+    for _ in range(levels):
+        grid = state.withColumn("step", (F.col("high") - F.col("low")) / points).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(points))))
+        grid = grid.withColumn("s", F.col("low") + F.col("j") * F.col("step")).withColumn("theta", (F.pow(F.lit(10.0), F.col("s")) - 1.0) / F.col("most"))
+        sums = y.select(group, "y").join(grid, group).groupBy(*names, "step", "j", "s", "theta").agg(F.avg(F.log1p(F.col("theta") * F.col("y"))).alias("shape"))
+        valid = sums.where((F.abs("theta") > 1e-9) & (F.col("shape") > -1))
+        likelihood = -F.col("n") * (F.log(F.col("shape") / F.col("theta")) + F.col("shape") + 1.0)
+        best = valid.groupBy(*names).agg(F.max(F.struct(likelihood.alias("ll"), (-F.col("j")).alias("j"), "s", "step", "theta", "shape")).alias("b"))
+        state = best.select(*names, (F.col("b.s") - F.col("b.step")).alias("low"), (F.col("b.s") + F.col("b.step")).alias("high"), F.col("b.theta").alias("theta"), F.col("b.shape").alias("shape"))
+    return state.select(group, "u", "shape", (F.col("shape") / F.col("theta")).alias("scale"), (F.col("n") / F.col("n_all")).alias("zeta_u"))
+
+
 def fit_pwm(calibration: DataFrame, q: float = 0.9) -> dict:
     """The same by probability-weighted moments; an additional estimator, not the likelihood's."""
     u = quantile(calibration, "distance", q)
     y = exceedances(calibration, u)
-    ranked = y.withColumn("i", _global_rank(y, "y"))
+    ranked = _ranked(y)
     n_all = calibration.count()
     n = y.count()
     if n < LEAST_EXCEEDANCES:
-        raise ValueError(f"only {n} exceedances above u={u:.4f}, too few for a stable tail fit")
+        raise ValueError(TOO_FEW.format(n=n, u=u, least=LEAST_EXCEEDANCES))
     row = ranked.agg(F.avg("y").alias("a0"), F.avg(F.col("y") * (n - F.col("i")) / (n - 1)).alias("a1")).first()
     ratio = row["a0"] / (row["a0"] - 2 * row["a1"])
     return {"u": u, "shape": 2 - ratio, "scale": 2 * row["a0"] * row["a1"] / (row["a0"] - 2 * row["a1"]), "zeta_u": n / n_all, "n_exceedances": n, "n_calibration": n_all}
 
 
-def _global_rank(table: DataFrame, column: str) -> Column:
-    # tail tables are a tenth of the references; ranks need one order
-    return F.row_number().over(W.partitionBy(F.lit(0)).orderBy(column))
+def _ranked(excesses: DataFrame) -> DataFrame:
+    """y with i, its place from 1."""
+    return running_sums(excesses.select("y"), "y", {"before": F.lit(1)}).select("y", (F.col("before") + 1).alias("i"))
 
 
 def novelty(distance: Column, fit: dict) -> Column:
-    """1 - p: 0 up to u, then 1 - zeta_u * survival of the excess."""
-    tail = F.lit(fit["zeta_u"]) * gpd_survival(distance - fit["u"], F.lit(fit["shape"]), F.lit(fit["scale"]))
-    return F.lit(1.0) - F.when(distance > fit["u"], tail).otherwise(1.0)
+    """1 - p: 0 up to u, then 1 - zeta_u * survival of the excess. fit: numbers or columns."""
+    u, shape, scale, zeta = (fit[n] if isinstance(fit[n], Column) else F.lit(fit[n]) for n in ("u", "shape", "scale", "zeta_u"))
+    return F.lit(1.0) - F.when(distance > u, zeta * gpd_survival(distance - u, shape, scale)).otherwise(1.0)
 
 
 def add_novelty(queries: DataFrame, fit: dict) -> DataFrame:
@@ -128,7 +157,7 @@ def qq(calibration: DataFrame, fit: dict) -> DataFrame:
     p = (F.col("i") - 0.5) / n
     shape, scale = F.lit(fit["shape"]), F.lit(fit["scale"])
     inverse = F.when(F.abs(shape) < 1e-12, -scale * F.log(1.0 - p)).otherwise(scale / shape * (F.pow(1.0 - p, -shape) - 1.0))
-    return y.withColumn("i", _global_rank(y, "y")).select(F.col("i").cast("long").alias("i"), F.col("y").alias("empirical"), inverse.alias("theoretical"))
+    return _ranked(y).select(F.col("i").cast("long").alias("i"), F.col("y").alias("empirical"), inverse.alias("theoretical"))
 
 
 def mean_residual_life(calibration: DataFrame, points: int = 20) -> DataFrame:
@@ -144,7 +173,7 @@ def anderson_darling(calibration: DataFrame, fit: dict) -> DataFrame:
     y = exceedances(calibration, fit["u"])
     n = fit["n_exceedances"]
     cdf = F.least(F.greatest(1.0 - gpd_survival(F.col("y"), F.lit(fit["shape"]), F.lit(fit["scale"])), F.lit(1e-12)), F.lit(1 - 1e-12))
-    ranked = y.withColumn("i", _global_rank(y, "y")).withColumn("f", cdf)
+    ranked = _ranked(y).withColumn("f", cdf)
     # the i-th from below meets 2i - 1, and from above 2(n - i) + 1
     term = (2 * F.col("i") - 1) * F.log("f") + (2 * (n - F.col("i")) + 1) * F.log(1.0 - F.col("f"))
     return ranked.agg((F.lit(-float(n)) - F.sum(term) / n).alias("a2"), F.count("*").alias("n"))

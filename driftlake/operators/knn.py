@@ -15,50 +15,62 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import as_doubles, cosine_distance, l2_normalize
 
-NEAR = "query_id long, ref_id long, distance double"
+NEAR = "query_id long, out string, ref_id long, distance double"
 
 
 def unit_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", *more: str) -> DataFrame:
-    """id, u (unit vector) and further columns."""
-    return table.select(F.col(vec_id).alias("id"), l2_normalize(as_doubles(F.col(vector))).alias("u"), *more)
+    """id, u (unit vector) and further columns. Rows take no part whose id or vector is null or whose vector is empty or holds a null, NaN or infinite component."""
+    finite = F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
+    usable = table.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & finite)
+    return usable.select(F.col(vec_id).alias("id"), l2_normalize(as_doubles(F.col(vector))).alias("u"), *more)
 
 
 def _blocks(n: int, block: int) -> int:
     return max(1, -(-n // block))
 
 
-def nearest(queries: DataFrame, references: DataFrame, k: int, exclude_self: bool = False, query_block: int = 4096, ref_block: int = 16384) -> DataFrame:
-    """query_id, ref_id, distance, rank (from 1): the k nearest references; ties to the smaller id; all if there are fewer."""
+def nearest(queries: DataFrame, references: DataFrame, k: int, exclude_self: bool = False, query_block: int = 4096, ref_block: int = 16384, apart: str | None = None) -> DataFrame:
+    """query_id, ref_id, distance, rank (from 1): the k nearest references; ties to the smaller id; all if there are fewer.
+
+    With `apart`, a column of both tables, a query doesn't meet references with
+    its value, and the result has it too. Vectors of other lengths don't meet.
+    Queries without references give no rows.
+    """
     nq, nr = _blocks(queries.count(), query_block), _blocks(references.count(), ref_block)
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("id", "u", F.lit(True).alias("asks"), deal(nq).alias("qb"), every(nr).alias("rb"))
-    right = references.select("id", "u", F.lit(False).alias("asks"), every(nq).alias("qb"), deal(nr).alias("rb"))
+    out = (F.col(apart) if apart else F.lit(None)).cast("string").alias("out")
+    left = queries.select("id", "u", out, F.size("u").alias("dim"), F.lit(True).alias("asks"), deal(nq).alias("qb"), every(nr).alias("rb"))
+    right = references.select("id", "u", out, F.size("u").alias("dim"), F.lit(False).alias("asks"), every(nq).alias("qb"), deal(nr).alias("rb"))
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         asks = rows["asks"].to_numpy(bool)
-        ids = rows["id"].to_numpy()
+        ids, names = rows["id"].to_numpy(), rows["out"].to_numpy()
+        tags = pd.factorize(rows["out"])[0]
         q_ids, r_ids = ids[asks], ids[~asks]
         if not len(q_ids) or not len(r_ids):
-            return pd.DataFrame(columns=["query_id", "ref_id", "distance"])
-        q, r = np.stack(rows["u"][asks].to_numpy()), np.stack(rows["u"][~asks].to_numpy())
+            return pd.DataFrame(columns=["query_id", "out", "ref_id", "distance"])
+        q, r, q_tags, r_tags = np.stack(rows["u"][asks].to_numpy()), np.stack(rows["u"][~asks].to_numpy()), tags[asks], tags[~asks]
         order = np.argsort(r_ids, kind="stable")
-        r, r_ids = r[order], r_ids[order]
-        out = []
+        r, r_ids, r_tags = r[order], r_ids[order], r_tags[order]
+        parts = []
         for at in range(0, len(q), 512):
             distance = 1.0 - q[at : at + 512] @ r.T
             if exclude_self:
                 distance[q_ids[at : at + 512, None] == r_ids[None, :]] = np.inf
+            if apart:
+                distance[q_tags[at : at + 512, None] == r_tags[None, :]] = np.inf
             top = min(k, distance.shape[1])
             # the k-th distance, then all up to it, so that ties are settled by id
             limit = np.partition(distance, top - 1, axis=1)[:, top - 1 : top]
             rows_, columns = np.nonzero((distance <= limit) & np.isfinite(distance))
-            out.append(pd.DataFrame({"query_id": q_ids[at + rows_], "ref_id": r_ids[columns], "distance": distance[rows_, columns]}))
-        return pd.concat(out).sort_values(["query_id", "distance", "ref_id"]).groupby("query_id").head(k)
+            parts.append(pd.DataFrame({"query_id": q_ids[at + rows_], "out": names[asks][at + rows_], "ref_id": r_ids[columns], "distance": distance[rows_, columns]}))
+        return pd.concat(parts).sort_values(["query_id", "out", "distance", "ref_id"]).groupby(["query_id", "out"], dropna=False).head(k)
 
-    found = left.unionByName(right).groupBy("qb", "rb").applyInPandas(run, NEAR)
-    by = W.partitionBy("query_id").orderBy("distance", "ref_id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    found = left.unionByName(right).groupBy("qb", "rb", "dim").applyInPandas(run, NEAR)
+    by = W.partitionBy("query_id", "out").orderBy("distance", "ref_id")
+    ranked = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return ranked.withColumn("out", F.col("out").cast(queries.schema[apart].dataType)) if apart else ranked.drop("out")
 
 
 def nearest_native(queries: DataFrame, references: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, strict_normalize
+from ..functions.vectors import strict_normalize
 
 
 def separation(vectors: DataFrame, label: str = "label", vector: str = "v") -> DataFrame:
@@ -27,12 +29,30 @@ def separation(vectors: DataFrame, label: str = "label", vector: str = "v") -> D
     return sums.crossJoin(F.broadcast(total)).select(n.alias("n_sequences"), F.col("families").alias("n_families"), within.alias("within_family_mean_cosine"), across.alias("across_family_mean_cosine"), (within - across).alias("separation_gap"))
 
 
-def separation_by_pairs(vectors: DataFrame, vec_id: str, label: str = "label", vector: str = "v") -> DataFrame:
-    """The same from all pairs, for the small labelled subsets it is meant for, and to test the sums."""
-    a = vectors.select(F.col(vec_id).alias("i"), F.col(label).alias("f"), strict_normalize(F.col(vector)).alias("u"))
-    b = a.select(F.col("i").alias("j"), F.col("f").alias("g"), F.col("u").alias("w"))
-    pairs = a.join(b, F.col("i") != F.col("j")).select((F.col("f") == F.col("g")).alias("same"), dot(F.col("u"), F.col("w")).alias("c"))
-    return pairs.agg(F.avg(F.when(F.col("same"), F.col("c"))).alias("within_family_mean_cosine"), F.avg(F.when(~F.col("same"), F.col("c"))).alias("across_family_mean_cosine"))
+def separation_by_pairs(vectors: DataFrame, vec_id: str, label: str = "label", vector: str = "v", block: int = 4096) -> DataFrame:
+    """The same from the cosines of all pairs: each pair of blocks is a task, which sends sums alone. Vectors of length 0, or with a null, take no part."""
+    unit = vectors.select(F.col(vec_id).alias("i"), F.col(label).cast("string").alias("f"), strict_normalize(F.col(vector)).alias("u"))
+    unit = unit.where(F.col("u").isNotNull() & F.forall("u", lambda x: x.isNotNull() & ~F.isnan(x)))
+    n = max(1, -(-vectors.count() // block))
+    own = F.pmod(F.xxhash64("i"), F.lit(n)).cast("int")
+    places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(F.least(own, k).alias("x"), F.greatest(own, k).alias("y")))
+    dealt = unit.select("i", "f", "u", own.alias("b"), F.explode(places).alias("p")).select("i", "f", "u", "b", "p.*")
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = int(key[0]), int(key[1])
+        names, u = pd.factorize(rows["f"])[0], np.stack(rows["u"].to_numpy())
+        a, b = (rows["b"] == x).to_numpy(), (rows["b"] == y).to_numpy()
+        cosine, same = u[a] @ u[b].T, names[a][:, None] == names[b][None, :]
+        if x == y:  # without a vector and itself; both orders are there
+            off = ~np.eye(len(cosine), dtype=bool)
+            cosine, same, times = cosine[off], same[off], 1
+        else:
+            times = 2
+        return pd.DataFrame({"same": [True, False], "total": [times * cosine[same].sum(), times * cosine[~same].sum()], "n": [times * int(same.sum()), times * int((~same).sum())]})
+
+    sums = dealt.groupBy("x", "y").applyInPandas(run, "same boolean, total double, n long")
+    mean = lambda which: F.try_divide(F.sum(F.when(which, F.col("total"))), F.sum(F.when(which, F.col("n"))))
+    return sums.agg(mean(F.col("same")).alias("within_family_mean_cosine"), mean(~F.col("same")).alias("across_family_mean_cosine"))
 
 
 def single_family_members(hits: DataFrame, member: str = "protein_id", family: str = "family") -> DataFrame:

@@ -117,7 +117,7 @@ def precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lift_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A20, P18."""
-    return ev.lift_curve(Base(spark, sf_dir).scored().select("id", F.round("novelty", 9).alias("novelty"), "is_positive").cache(), 100).select("k", rounded(F.col("precision")).alias("precision"), rounded(F.col("lift")).alias("lift"))
+    return ev.lift_curve(Base(spark, sf_dir).scored().select("id", F.round("novelty", 9).alias("novelty"), "is_positive").cache()).select("k", rounded(F.col("precision")).alias("precision"), rounded(F.col("lift")).alias("lift"))
 
 
 def auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,10 +171,9 @@ def separation_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def separation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A7, J14 over the labelled subset's pairs (a few members of each family, as the comparison asks)."""
+    """A7, J14 over all pairs, in blocks."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label", as_doubles(F.col("embedding")).alias("v"))
-    few = v.withColumn("r", F.row_number().over(W.partitionBy("label").orderBy("vec_id"))).where("r <= 5")
-    return _separation(separation.separation_by_pairs(few, "vec_id"))
+    return _separation(separation.separation_by_pairs(v, "vec_id"))
 
 
 def masked_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,18 +201,15 @@ def heldout_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = Base(spark, sf_dir)
-    families = b.references.groupBy(F.col("label").cast("long").alias("family")).agg(F.count("*").alias("n")).where("n >= 5")
-    largest = families.agg(F.max("n")).first()[0] or 0
-    labels = b.references.select("id", F.col("label").cast("long").alias("family"))
-    near = knn.nearest(b.references, b.references, K + largest, exclude_self=True)
-    near = near.join(labels.select(F.col("id").alias("ref_id"), F.col("family").alias("ref_family")), "ref_id").join(labels.select(F.col("id").alias("query_id"), F.col("family").alias("query_family")), "query_id")
+    references = b.references.select("id", "u", F.col("label").cast("long").alias("family"))
+    families = references.groupBy("family").agg(F.count("*").alias("n")).where("n >= 5")
     # as many controls as members, drawn by hash from the other families
     from ..operators.sampling import draw
 
-    pool = labels.select("id", F.col("family").alias("own")).join(F.broadcast(families), F.col("own") != F.col("family"))
+    pool = references.select("id", F.col("family").alias("own")).join(F.broadcast(families), F.col("own") != F.col("family"))
     by = W.partitionBy("family").orderBy(draw(SEED, F.col("id")), "id")
     controls = pool.withColumn("r", F.row_number().over(by)).where(F.col("r") <= F.col("n")).select("family", "id")
-    return ev.held_out_families(near, families, K, Q, controls)
+    return ev.held_out_families(references, families, K, Q, controls)
 
 
 def auroc_per_family(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,7 +331,7 @@ fit AS (SELECT u, 2 - a0 / (a0 - 2 * a1) AS shape, 2 * a0 * a1 / (a0 - 2 * a1) A
     "evt_novelty_score_ecdf": _sql(FULL, f"SELECT id AS vec_id, {r('CASE WHEN distance > u THEN novelty ELSE (SELECT count(*) FROM loo WHERE loo.distance <= sc.distance)::DOUBLE / n_calibration END', 5)} AS evt_novelty_score FROM sc, fit"),
     "novelty_summary": _sql(FULL, f"SELECT count(*) AS n, count(*) FILTER (is_positive) AS n_positive, {r('avg(novelty) FILTER (is_positive)', 5)} AS mean_positive, {r('avg(novelty) FILTER (NOT is_positive)', 5)} AS mean_still_dark, {r('avg(is_positive::INT)')} AS base_rate FROM sc"),
     "precision_at_k": _sql(NINE + "o AS (SELECT is_positive::INT AS hit, row_number() OVER (ORDER BY novelty DESC, id) AS rk FROM s9),", f"SELECT k, {r('avg(hit)')} AS precision, count(*) AS n FROM o, (VALUES (10::BIGINT), (50), (100), (500), (5000)) t(k) WHERE rk <= k GROUP BY k"),
-    "lift_curve": _sql(NINE + "o AS (SELECT is_positive::INT AS hit, row_number() OVER (ORDER BY novelty DESC, id) AS rk FROM s9), c AS (SELECT rk, avg(hit) OVER (ORDER BY rk) AS p FROM o),", f"SELECT rk AS k, {r('p')} AS precision, {r('p / nullif((SELECT avg(is_positive::INT) FROM s9), 0)')} AS lift FROM c WHERE rk <= 100"),
+    "lift_curve": _sql(NINE + "o AS (SELECT is_positive::INT AS hit, row_number() OVER (ORDER BY novelty DESC, id) AS rk FROM s9), c AS (SELECT rk, avg(hit) OVER (ORDER BY rk) AS p FROM o),", f"SELECT rk AS k, {r('p')} AS precision, {r('p / nullif((SELECT avg(is_positive::INT) FROM s9), 0)')} AS lift FROM c"),
     "auroc": _sql(NINE, AUC.format(g="", r=r(RANKSUM), by="", t="s9", group="")),
     "calibration_bins": _sql(NINE + f"cb AS (SELECT {BIN} AS bin, is_positive FROM s9),", f"SELECT bin, {r(f'any_value({EDGES}[bin + 1])')} AS bin_lo, {r(f'any_value({EDGES}[bin + 2])')} AS bin_hi, {r('avg(is_positive::INT)')} AS observed, count(*) AS n FROM cb WHERE bin IS NOT NULL GROUP BY bin"),
     "roc_curve": _sql(NINE, f"SELECT k, {r(f'any_value(k * {1.0 / 199!r}::DOUBLE)')} AS threshold, {r(f'count(*) FILTER (is_positive AND novelty >= k * {1.0 / 199!r}::DOUBLE)::DOUBLE / count(*) FILTER (is_positive)')} AS tpr, {r(f'count(*) FILTER (NOT is_positive AND novelty >= k * {1.0 / 199!r}::DOUBLE)::DOUBLE / count(*) FILTER (NOT is_positive)')} AS fpr FROM s9, range(0, 200) t(k) GROUP BY k"),
@@ -347,7 +343,7 @@ hb AS (SELECT is_positive, CAST(least(floor((s - lo) / w), 29) AS BIGINT) AS bin
     "mean_residual_life": _sql(BASE + LOO + "l9 AS (SELECT round(distance, 9) AS d FROM loo), mm AS (SELECT min(d) AS lo, (max(d) - min(d)) / 20 AS w FROM l9),", f"SELECT j, {r('avg(d - (lo + j * w))')} AS mean_excess, count(*) AS n FROM l9, mm, range(0, 20) t(j) WHERE d > lo + j * w GROUP BY j"),
     "anderson_darling": _sql(BASE + LOO + MLE + f"yr AS (SELECT row_number() OVER (ORDER BY y) AS i, least(greatest(1 - {_sf('y')}, 1e-12), 1 - 1e-12) AS f, n_exceedances AS n FROM y, fit),", f"SELECT {r('-count(*)::DOUBLE - sum((2 * i - 1) * ln(f) + (2 * (n - i) + 1) * ln(1.0 - f)) / count(*)', 4)} AS a2, count(*) AS n FROM yr"),
     "separation_score": _sql(BASE + "pr AS (SELECT a.label = b.label AS same, list_inner_product(a.u, b.u) AS c FROM u a JOIN u b ON a.vec_id <> b.vec_id),", f"SELECT (SELECT count(*) FROM u) AS n_sequences, (SELECT count(DISTINCT label) FROM u) AS n_families, {r('avg(c) FILTER (same)')} AS within_family_mean_cosine, {r('avg(c) FILTER (NOT same)')} AS across_family_mean_cosine, {r('avg(c) FILTER (same) - avg(c) FILTER (NOT same)')} AS separation_gap FROM pr"),
-    "separation_pairs": _sql(BASE + "fw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS o FROM u) WHERE o <= 5), pr AS (SELECT a.label = b.label AS same, list_inner_product(a.u, b.u) AS c FROM fw a JOIN fw b ON a.vec_id <> b.vec_id),", f"SELECT {r('avg(c) FILTER (same)')} AS within_family_mean_cosine, {r('avg(c) FILTER (NOT same)')} AS across_family_mean_cosine FROM pr"),
+    "separation_pairs": _sql(BASE + "pr AS (SELECT a.label = b.label AS same, list_inner_product(a.u, b.u) AS c FROM u a JOIN u b ON a.vec_id <> b.vec_id),", f"SELECT {r('avg(c) FILTER (same)')} AS within_family_mean_cosine, {r('avg(c) FILTER (NOT same)')} AS across_family_mean_cosine FROM pr"),
     "masked_mean_pool": _sql(BASE, f"SELECT vec_id, {r('coalesce(list_sum(list_filter(v, lambda x: x > 0)), 0) / greatest(len(list_filter(v, lambda x: x > 0)), 1)')} AS pooled FROM u"),
     "heldout_family": _sql(BASE + """
 big AS (SELECT label AS family FROM u WHERE label < 5 GROUP BY label ORDER BY count(*) DESC, label LIMIT 1),

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.vectors import rounded
+from ..functions.vectors import as_doubles, rounded
 from ..operators import device, embedders, labeling, sampling, separation, transfer
 from ..session import table
 from ..sources import tables as src
 
-T0 = "1996-06-01"
+T0, DONE = "1996-06-01", "1992-06-01"
 SEED = 42
 
 
@@ -70,9 +70,7 @@ def taxonomy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def panel_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q1, A2, F1, F2: sizes by phylum."""
     g = genomes(spark, sf_dir)
-    _, info = sampling.panel(g, src.representatives(g), 200, 2, 10, SEED)
-    rows = sorted(info["sizes_by_phylum"].items())
-    return spark.createDataFrame([(k, n, info["allocation_f"]) for k, n in rows], "phylum string, size long, f double")
+    return sampling.panel(g, src.representatives(g), 200, 2, 10, SEED)[1].select("phylum", "size", F.col("fraction").alias("f"))
 
 
 def representative_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,16 +194,16 @@ def name_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remaining_work(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Genomes without proteins, in order, some first."""
+    """Genomes of which no protein was done before a date."""
     g = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("genome"))
-    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("genome"))
-    return labeling.remaining(g, done, "genome").orderBy("genome").limit(200)
+    done = table(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit(DONE).cast("timestamp")).select(F.col("o_custkey").alias("genome"))
+    return labeling.remaining(g, done, "genome")
 
 
 def missing_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W8, W9."""
     g = table(spark, sf_dir, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("genome"))
-    done = table(spark, sf_dir, "orders").select(F.lpad(F.col("o_custkey").cast("string"), 9, "0").alias("genome"))
+    done = table(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit(DONE).cast("timestamp")).select(F.lpad(F.col("o_custkey").cast("string"), 9, "0").alias("genome"))
     return labeling.missing_preview(labeling.remaining(g, done, "genome"), "genome")
 
 
@@ -245,7 +243,9 @@ def device_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X1-X3 with the stand-in embedder, masked first, whole texts."""
     rows = embedders.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "masked-kmers", "text")
-    return rows.select("doc_id", F.size("embedding").cast("long").alias("dimension"), rounded(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("squared_norm"))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    v = as_doubles(F.col("embedding"))
+    return rows.select("doc_id", F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("filled"), rounded(total(F.transform(v, lambda x, i: x * (i + 1))), 4).alias("weighted"), rounded(total(F.transform(v, lambda x: F.abs(x))), 4).alias("absolute"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -336,10 +336,20 @@ kw AS (SELECT *, row_number() OVER (PARTITION BY phylum, length_bin ORDER BY md5
     "masked_sequences": "SELECT doc_id, md5(regexp_replace(upper(replace(replace(text, 'ß', 'SS'), 'nd', 'nnnn')), 'N{3,}', '@', 'g')) AS masked_md5 FROM documents",
     "truncation_report": "SELECT model, count(*) FILTER (length(text) > most) AS truncated, CAST(sum(least(length(text), most)) AS BIGINT) AS kept, CAST(sum(length(text)) AS BIGINT) AS total FROM documents, (VALUES ('esm2', 1024), ('genos-m', 8192)) t(model, most) GROUP BY model",
     "name_parsing": "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN 'GB_' || c_custkey END AS member, 'P' || c_custkey AS header, CASE WHEN c_custkey % 3 = 0 THEN c_custkey || '.txt' ELSE c_custkey::VARCHAR END AS stem, c_custkey::VARCHAR AS release, 'PF' || c_custkey AS bare, least(5 * (c_custkey % 10), 30) AS wait FROM customer",
-    "remaining_work": "SELECT c_custkey AS genome FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) ORDER BY 1 LIMIT 200",
-    "missing_preview": "WITH m AS (SELECT lpad(c_custkey::VARCHAR, 9, '0') AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) SELECT count(*) AS n_missing, coalesce((SELECT string_agg(k, ', ' ORDER BY k) FROM (SELECT k FROM m ORDER BY k LIMIT 10)), '') || CASE WHEN count(*) > 10 THEN '...' ELSE '' END AS preview FROM m",
+    "remaining_work": f"SELECT c_custkey AS genome FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '{DONE}')",
+    "missing_preview": f"WITH m AS (SELECT lpad(c_custkey::VARCHAR, 9, '0') AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '{DONE}')) SELECT count(*) AS n_missing, coalesce((SELECT string_agg(k, ', ' ORDER BY k) FROM (SELECT k FROM m ORDER BY k LIMIT 10)), '') || CASE WHEN count(*) > 10 THEN '...' ELSE '' END AS preview FROM m",
     "byte_range_plan": "WITH f AS (SELECT doc_id, n_chars AS total, least(doc_id % 3 * 100, n_chars) AS done, doc_id % 3 + 1 AS np FROM documents), p AS (SELECT *, unnest(range(0, CAST(ceil((total - done) / 500.0) AS BIGINT))) AS k FROM f WHERE total > done) SELECT doc_id, np + k AS part_number, done + k * 500 AS start, least(done + (k + 1) * 500, total) - 1 AS \"end\" FROM p",
     "resume_offset": "SELECT l_orderkey AS upload, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS done, CAST(max(l_linenumber) + 1 AS BIGINT) AS next_part FROM lineitem GROUP BY l_orderkey",
+    "embedded_documents": """WITH
+m AS (SELECT doc_id, string_split(regexp_replace(upper(replace(text, 'ß', 'SS')), 'N{3,}', '@', 'g'), '') AS l FROM documents),
+c AS (SELECT doc_id, unnest(l) AS c, generate_subscripts(l, 1) AS i FROM m),
+w AS (SELECT doc_id, unicode(c) AS a, lead(unicode(c)) OVER o AS b, lead(unicode(c), 2) OVER o AS d FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT doc_id, (a::BIGINT * 961 + b * 31 + d) * 40503 % 65536 AS h FROM w WHERE d IS NOT NULL),
+s AS (SELECT doc_id, h % 64 AS k, sum(CASE WHEN h // 64 % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS x FROM h GROUP BY doc_id, k),
+n AS (SELECT doc_id, greatest(sqrt(sum(x * x)), 1e-12) AS n FROM s GROUP BY doc_id),
+u AS (SELECT doc_id, k, (x / n)::FLOAT::DOUBLE AS x FROM s JOIN n USING (doc_id))
+SELECT doc_id, count(x) FILTER (x <> 0) AS filled, round(coalesce(sum(x * (k + 1)), 0), 4) + 0.0 AS weighted, round(coalesce(sum(abs(x)), 0), 4) + 0.0 AS absolute
+FROM documents LEFT JOIN u USING (doc_id) GROUP BY doc_id""",
     "progress_rate": _sql(EVENTS + "pr AS (SELECT *, sum(size) OVER w AS done, (epoch_us(ts) / 1e6) - lag(epoch_us(ts) / 1e6) OVER w AS el FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),", f"SELECT event_id, {r('done', 3)} AS done, {r('CASE WHEN el IS NULL THEN NULL WHEN el = 0 THEN 0 ELSE size / el END', 4)} AS rate, {r('100.0 * done / 1e6', 4)} AS percent FROM pr"),
     "progress_reports": _sql(EVENTS + """
 o AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, size, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM ev),

@@ -57,9 +57,9 @@ class Workflow:
         for p in metadata:
             rows = src.representatives(src.read_metadata(self.spark, p, ["accession", "gtdb_representative"]))
             flags = rows if flags is None else flags.unionByName(rows)
-        chosen, info = sampling.panel(self.read("taxonomy"), flags.distinct(), target, floor, cap, seed)
-        sizes = info.pop("sizes_by_phylum")
-        summary = self.spark.createDataFrame([(*info.values(), sizes)], ", ".join(f"{k} {'double' if isinstance(v, float) else 'long'}" for k, v in info.items()) + ", sizes_by_phylum map<string,long>")
+        chosen, strata = sampling.panel(self.read("taxonomy"), flags.distinct(), target, floor, cap, seed)
+        asked = F.struct(*[F.lit(v).alias(k) for k, v in (("target", target), ("floor", floor), ("cap", cap), ("seed", seed))])
+        summary = strata.agg(F.sum("size").alias("rows"), F.max("fraction").alias("fraction"), F.count("*").alias("strata"), F.count_if(F.col("size") > 0).alias("strata_drawn"), F.map_from_entries(F.collect_list(F.struct("phylum", "size"))).alias("sizes")).withColumn("asked", asked)
         sinks.write_document(summary, self.path("genome_panel_summary"))
         return self.write("genome_panel", chosen)
 
@@ -81,15 +81,15 @@ class Workflow:
         genomes = proteins.select("genome").distinct()
         if limit_genomes:
             genomes = genomes.orderBy("genome").limit(limit_genomes)
-        if self.has("labelled_genomes"):
-            genomes = labeling.remaining(genomes, self.read("labelled_genomes"), "genome")
+        if self.has("panel_labels"):
+            genomes = labeling.remaining(genomes, self.read("panel_labels"), "genome")
         genomes = genomes.cache()
         keyed = lambda rows: _keyed(rows.join(genomes, "genome", "left_semi"))
         new = labeling.new_families(families_t0, families_t1)
         labels = labeling.snapshot_labels(keyed(proteins), keyed(hits_t0).select("protein_id", "family"), keyed(hits_t1).select("protein_id", "family"), new)
         out = self.write("panel_labels", labels.withColumn("protein_id", F.element_at(F.split("protein_id", "\u0001"), 2)), "append")
-        # genomes without proteins count as done too, after their rows are safe
-        self.write("labelled_genomes", genomes, "append")
+        # a genome here has proteins, so its rows tell that it is done: one write, whole or not at all
+        genomes.unpersist()
         self.log("snapshot differencing", result=str(labeling.summary(out).first().asDict()), next_step=labeling.go_no_go(out).first()["decision"])
         return out
 
@@ -131,7 +131,7 @@ class Workflow:
         if not self.has(f"{model}_novelty_scores"):
             raise FileNotFoundError(f"{model}_novelty_scores: score first")
         scored = self.read(f"{model}_novelty_scores").select("id", F.col("evt_novelty_score").alias("novelty"), "is_positive").cache()
-        out = {"precision": evaluation.precision_at(scored, list(precision_k or self.settings.precision_k)), "lift": evaluation.lift_curve(scored, max(precision_k or self.settings.precision_k)), "calibration": evaluation.calibration(scored, bins or self.settings.bins), "roc": evaluation.roc(scored), "histogram": evaluation.histogram(scored)}
+        out = {"precision": evaluation.precision_at(scored, list(precision_k or self.settings.precision_k)), "lift": evaluation.lift_curve(scored), "calibration": evaluation.calibration(scored, bins or self.settings.bins), "roc": evaluation.roc(scored), "histogram": evaluation.histogram(scored)}
         references = _keyed(self._parts(model)[1])
         own = _keyed(hits).join(references.select("protein_id"), "protein_id", "left_semi")
         family = separation.largest_family(own, min_family_size).first()
