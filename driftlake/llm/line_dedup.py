@@ -1,10 +1,12 @@
 """Operator 3: line dedup by levelled sorted runs of line hashes.
 
-A run is a written table of (hash, documents that hold it), sorted by hash.
-Each batch of documents adds one run; when a level holds `fan_out` runs they are
-merged into one of the next level. A batch's lines are merge-joined with the
-runs to find which have been seen in enough documents, and the other lines stay
-(an anti join). In bulk, all batches are added before any is filtered.
+A run is a written table of (hash, documents that hold it), bucketed and sorted
+by hash. Documents come in batches. A batch's keys are counted and merge-anti-
+joined with every run's keys that enough documents have already; the rest is the
+batch's own run. As soon as two runs stand on one level they are merged into one
+of the next, by a merge join that adds up their counts. Runs have equal buckets
+in order, so neither these joins nor the merges move or sort a run again. At the
+end all runs are merged, and lines whose key enough documents have go.
 
 Hashes are two independent 64-bit values of the line's key.
 """
@@ -30,57 +32,64 @@ def hashed(key: Column) -> Column:
 
 
 class Runs:
-    """The state: levels of sorted runs in the shared folder."""
-
-    def __init__(self, scratch: Scratch, fan_out: int = 4):
-        self.scratch, self.fan_out, self.levels = scratch, fan_out, [[]]
-
-    def _run(self, rows: DataFrame, count: Column) -> DataFrame:
-        merged = rows.groupBy(*HASH).agg(count.cast("long").alias("n"))
-        return self.scratch.write(merged.sortWithinPartitions(*HASH))
-
-    def add(self, lines: DataFrame) -> None:
-        """lines: h1, h2, a row for each document and different key."""
-        self.levels[0].append(self._run(lines, F.count("*")))
+    """The state: levels of bucketed, sorted runs in the shared folder."""
+
+    def __init__(self, scratch: Scratch, least: int, buckets: int | None = None):
+        self.scratch, self.least, self.spark = scratch, least, scratch.spark
+        self.buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[DataFrame | None] = []
+        self.names: dict[int, str] = {}
+        # a bucket is one file, so its order is known
+        self.spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+
+    def _write(self, rows: DataFrame) -> DataFrame:
+        self.scratch.count += 1
+        path, name = f"{self.scratch.root}/run-{self.scratch.count}", f"run_{self.scratch.root.rsplit('-', 1)[-1]}_{self.scratch.count}"
+        rows.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", path).option("compression", "zstd").saveAsTable(name)
+        out = self.spark.table(name)
+        out.scratch_path, out.run_name = path, name
+        return out
+
+    def _drop(self, run: DataFrame) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {run.run_name}")
+        self.scratch.drop(run)
+
+    def runs(self) -> list[DataFrame]:
+        return [run for run in self.levels if run is not None]
+
+    def admit(self, keys: DataFrame) -> None:
+        """keys: h1, h2, n of a batch. Those that no run tells to be in enough documents need counting still: their run is added."""
+        fresh = keys
+        for run in self.runs():
+            full = run.where(F.col("n") >= self.least).select(*HASH)
+            fresh = fresh.join(full.hint("merge"), list(HASH), "left_anti")
+        run = self._write(fresh.repartition(self.buckets, *HASH))
         level = 0
-        while len(self.levels[level]) >= self.fan_out:
-            if level + 1 == len(self.levels):
-                self.levels.append([])
-            self.levels[level + 1].append(self.merge(self.levels[level]))
-            for run in self.levels[level]:
-                self.scratch.drop(run)
-            self.levels[level] = []
+        while level < len(self.levels) and self.levels[level] is not None:
+            run, self.levels[level] = self._merged(self.levels[level], run), None
             level += 1
-
-    def admit(self, lines: DataFrame) -> DataFrame:
-        """The rows of a batch whose key no earlier batch had (an anti join with every run); the batch's own run is added.
-
-        For a stream that keeps first occurrences. Which of a batch's rows with
-        the same key is first is for the caller to say.
-        """
-        runs = [run for level in self.levels for run in level]
-        fresh = lines
-        for run in runs:
-            fresh = fresh.join(run.select(*HASH), list(HASH), "left_anti")
-        fresh = self.scratch.write(fresh)
-        self.add(lines)
-        return fresh
-
-    def merge(self, runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0]
-        for run in runs[1:]:
-            rows = rows.unionByName(run)
-        return self._run(rows, F.sum("n"))
-
-    def seen(self, least: int) -> DataFrame:
-        """h1, h2 of the keys that at least so many documents hold."""
-        runs = [run for level in self.levels for run in level]
-        rows = runs[0]
-        for run in runs[1:]:
-            rows = rows.unionByName(run)
-        if len(runs) > 1:
-            rows = rows.groupBy(*HASH).agg(F.sum("n").alias("n"))
-        return rows.where(F.col("n") >= least).select(*HASH)
+        self.levels += [None] * (level + 1 - len(self.levels))
+        self.levels[level] = run
+
+    def _merged(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        n = F.coalesce(F.col("a.n"), F.lit(0)) + F.coalesce(F.col("b.n"), F.lit(0))
+        both = a.alias("a").join(b.alias("b").hint("merge"), (F.col("a.h1") == F.col("b.h1")) & (F.col("a.h2") == F.col("b.h2")), "full_outer")
+        out = self._write(both.select(*[F.coalesce(f"a.{h}", f"b.{h}").alias(h) for h in HASH], n.alias("n")))
+        self._drop(a)
+        self._drop(b)
+        return out
+
+    def compact(self) -> DataFrame:
+        """One run of all that was added."""
+        whole = None
+        for run in self.runs():
+            whole = run if whole is None else self._merged(whole, run)
+        self.levels = [whole]
+        return whole
+
+    def full(self) -> DataFrame:
+        """h1, h2 of the keys that enough documents hold."""
+        return self.compact().where(F.col("n") >= self.least).select(*HASH)
 
 
 def lines_of(docs: DataFrame, shortest: int, doc_id: str, text: str) -> DataFrame:
@@ -90,31 +99,34 @@ def lines_of(docs: DataFrame, shortest: int, doc_id: str, text: str) -> DataFram
     return docs.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("th"), long_enough.alias("l"))
 
 
-def marked(docs: DataFrame, least_docs: int, shortest: int, batches: int, doc_id: str, text: str) -> DataFrame:
+def marked(docs: DataFrame, least_docs: int, shortest: int, batch_bytes: int, doc_id: str, text: str) -> DataFrame:
     """doc, th, bad (line numbers that go): a row for each row of docs that loses lines."""
     scratch = Scratch(docs.sparkSession, "lines")
+    size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    batches = max(4, -(-size // batch_bytes))
     flat = lines_of(docs, shortest, doc_id, text).select("doc", "th", F.explode("l").alias("l")).select("doc", "th", F.col("l.h.h1").alias("h1"), F.col("l.h.h2").alias("h2"), F.col("l.i").alias("i"), F.pmod(F.xxhash64("doc", "th"), F.lit(batches)).cast("int").alias("batch"))
     lines = scratch.write(flat, "batch")
-    runs = Runs(scratch)
+    runs = Runs(scratch, least_docs)
     for b in range(batches):
         # a document is told by its id and text; a key counts once in each
-        runs.add(lines.where(F.col("batch") == b).groupBy("doc", "th", *HASH).agg(F.lit(1)).select(*HASH))
-    bad = scratch.write(runs.seen(least_docs))
-    hit = lines.join(bad, list(HASH), "left_semi")
+        once = lines.where(F.col("batch") == b).groupBy("doc", "th", *HASH).agg(F.lit(1))
+        runs.admit(once.groupBy(*HASH).agg(F.count("*").alias("n")))
+    hit = lines.join(runs.full(), list(HASH), "left_semi")
     return hit.groupBy("doc", "th").agg(F.array_sort(F.collect_set("i")).alias("bad"))
 
 
-def dedup_lines(docs: DataFrame, least_docs: int = 10, shortest: int = 1, batches: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, least_docs: int = 10, shortest: int = 1, batch_bytes: int = 256 << 30, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with `text` less its repeated lines; all columns stay, and n_lines and n_dropped come in a struct `__lines`.
 
     A key (line without ASCII white space at its ends, A-Z lower-cased) of at
     least `shortest` code points that occurs in at least `least_docs` documents
     loses all its lines in every document. A null text counts as empty: one
-    empty line. Rows with the same doc_id and text are one document for the
-    count, and all of them lose the lines. Empty tables give no rows.
+    empty line. Rows with the same doc_id (or none) and the same text are one
+    document for the count, and all of them lose the lines; rows with the same
+    doc_id and other texts are other documents. Empty tables give no rows.
     """
     own = docs.withColumn("__lines", F.struct(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("th")))
-    bad = marked(docs, least_docs, shortest, batches, doc_id, text).select(F.struct("doc", "th").alias("__key"), F.col("bad").alias("__bad"))
+    bad = marked(docs, least_docs, shortest, batch_bytes, doc_id, text).select(F.struct("doc", "th").alias("__key"), F.col("bad").alias("__bad"))
     both = own.join(bad, F.col("__lines")["doc"].eqNullSafe(F.col("__key")["doc"]) & (F.col("__lines")["th"] == F.col("__key")["th"]), "left")
     split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__bad")), lambda i: F.get(split, i))
