@@ -96,9 +96,9 @@ def wanted_lines(rows, least=10):
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 5])
-def test_lines(messy, batches):
-    got = [tuple(r) for r in line_dedup.line_report(messy, batches=batches).collect()]
+@pytest.mark.parametrize("batch_bytes", [1 << 38, 20_000])
+def test_lines(messy, batch_bytes):
+    got = [tuple(r) for r in line_dedup.line_report(messy, batch_bytes=batch_bytes).collect()]
     want = wanted_lines(messy.collect())
     assert Counter(got) == Counter(want)
     assert sum(x[2] for x in want) > 20
@@ -108,26 +108,23 @@ def test_lines_sql(spark):
     assert_same(queries.op3_line_dedup(spark, SF), duck(SF), queries.OP3_SQL)
 
 
-def test_runs_are_compacted(spark):
+def test_runs(spark):
+    """Counts add up over levels, keys of enough documents aren't added again, and joins and merges neither move nor sort a run."""
     from driftlake.llm._common import Scratch
 
-    runs = line_dedup.Runs(Scratch(spark, "t"), fan_out=2)
-    for k in range(5):
-        runs.add(spark.createDataFrame([(1, 1), (2, k)], "h1 long, h2 long"))
-    assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert [tuple(r) for r in runs.seen(5).collect()] == [(1, 1)]
-
-
-def test_batches_of_a_stream(spark):
-    from driftlake.llm._common import Scratch
-
-    runs = line_dedup.Runs(Scratch(spark, "t"), fan_out=2)
-    seen = set()
-    for k in range(4):
-        batch = [(x, 0) for x in range(k, k + 3)] + [(k, 0)]
-        got = [r["h1"] for r in runs.admit(spark.createDataFrame(batch, "h1 long, h2 long")).collect()]
-        assert sorted(got) == sorted(x for x, _ in batch if x not in seen)
-        seen |= {x for x, _ in batch}
+    runs, total = line_dedup.Runs(Scratch(spark, "t"), 5, 3), Counter()
+    for k in range(7):
+        batch = [(1, 1, 3), (2, k, 1), (3, 0, 9)]
+        runs.admit(spark.createDataFrame(batch, "h1 long, h2 long, n long"))
+        total.update({(a, b): n for a, b, n in batch})
+    assert [x is not None for x in runs.levels] == [True, True, True]
+    a, b = runs.runs()[:2]
+    plan = a.join(b.hint("merge"), ["h1", "h2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan and "Bucketed: true" in plan, plan
+    assert sorted(tuple(r) for r in runs.full().collect()) == sorted(k for k, n in total.items() if n >= 5)
+    assert len(runs.runs()) == 1
+    n = {(r["h1"], r["h2"]): r["n"] for r in runs.runs()[0].collect()}
+    assert n[3, 0] == 9 and 5 <= n[1, 1] < 21 and all(n[2, k] == 1 for k in range(7))
 
 
 def test_main_paths_are_native(unique):
