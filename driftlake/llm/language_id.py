@@ -2,12 +2,18 @@
 
 A text is its words: runs of letters, lower-cased, with a boundary on either
 side; a model predicts each letter and the closing boundary from the letters
-before it in the word. N-grams of all languages stand in one sorted array of
-64-bit hashes for each order, beside a row with each language's interpolated log
-probability; contexts likewise beside their back-off weights. The language with
-the lowest cross-entropy per predicted letter wins (ties: the first by code
-point). A text whose cross-entropy lies far above what its language had on
-documents kept for calibration is rejected.
+before it in the word. N-grams stand in one sorted array of 64-bit hashes for
+each order, each with the languages that have it and their interpolated log
+probabilities; contexts likewise with their back-off weights. So the tables grow
+with the n-grams that were seen, not with the number of languages. The language
+with the lowest cross-entropy per predicted letter wins (ties: the first by code
+point).
+
+Some documents of the sample are kept out of the counts. Their cross-entropies,
+less their language's mean and in units of its spread and of the text's length,
+give the bound that only the share `false_rejects` of them exceeds. A text
+is rejected that exceeds it and is nearer to letters drawn at random than to its
+language.
 
 The models are fitted on a sample bounded by `most_chars`; the tables hold at
 most `most_chars` n-grams of each order.
@@ -17,25 +23,32 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import held, trim
+from ._common import Scratch, held, trim, words_of
 
-KEPT, CHUNK = 250_000, 2 << 20
+#: Tokens, and numbers of their tables, that a worker keeps; code points scored at a time.
+KEPT, KEPT_NUMBERS, CHUNK = 250_000, 4_000_000, 2 << 20
 #: Multiplier of the n-gram hash, odd.
 STEP = np.uint64(0x9E3779B97F4A7C15)
 EDGE = 0x110000
-RESULT = "lang_pred string, score double, cross_entropy double, rejected boolean"
+RESULT = "lang_pred string, score double, cross_entropy double, rejected boolean, predictions long"
 
 
-def letter_runs(token: str) -> list[str]:
+@cache
+def _letters():
     import regex
 
-    return regex.findall(r"\p{L}+", token.lower())
+    return regex.compile(r"\p{L}+").findall
+
+
+def letter_runs(token: str) -> list[str]:
+    return _letters()(token.lower())
 
 
 def symbols(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,88 +79,103 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
 
 
+class Table:
+    """For sorted hashes, the languages that have them and a number for each."""
+
+    def __init__(self, keys: list[np.ndarray], values: list[np.ndarray]):
+        every, lang, value = np.concatenate(keys), np.repeat(np.arange(len(keys), dtype=np.int32), [len(k) for k in keys]), np.concatenate(values)
+        order = np.lexsort((lang, every))
+        every, self.lang, self.value = every[order], lang[order], value[order].astype(np.float32)
+        first = np.flatnonzero(np.diff(every, prepend=~every[:1]))
+        self.keys, self.start = every[first], np.append(first, len(every))
+
+    def entries(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in wanted, language, number) of all that are there."""
+        at, there = find(self.keys, wanted)
+        at, place = at[there], np.flatnonzero(there)
+        n = self.start[at + 1] - self.start[at]
+        end = np.cumsum(n)
+        e = np.repeat(self.start[at] - end + n, n) + np.arange(int(end[-1]) if len(end) else 0)
+        return np.repeat(place, n), self.lang[e], self.value[e]
+
+
 class Models:
     """Tables of all languages."""
 
     def __init__(self, counts: dict[str, dict[str, int]], order: int = 4):
         self.order, self.langs = order, sorted(counts)
-        self.keys, self.logs, self.contexts, self.backoffs = {}, {}, {}, {}
         self.limits: dict[str, tuple[float, float]] = {}
-        own = {}
-        for lang in self.langs:
-            words = sorted(counts[lang])
-            points, at, word = symbols(words, order)
-            weight = np.array([counts[lang][w] for w in words], np.float64)[word]
-            own[lang] = (points, at, weight)
-        alphabet = len(np.unique(np.concatenate([p for p, _, _ in own.values()]))) + 1
-        self.floor = -float(np.log(alphabet))
-        below = None
-        for n in range(1, order + 1):
-            table, totals = {}, {}
-            for lang in self.langs:
-                points, at, weight = own[lang]
-                gram, context, rest = grams(points, at, n), grams(points, at, n - 1, 1), grams(points, at, n - 1) if n > 1 else None
-                keys, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
-                if n == order:
-                    count = np.bincount(inverse, weight)
-                else:  # different symbols to the left
-                    _, one = np.unique(grams(points, at, n + 1), return_index=True)
-                    count = np.bincount(inverse[one], minlength=len(keys)).astype(np.float64)
-                n1, n2 = (count == 1).sum(), (count == 2).sum()
-                discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-                ctx, where = np.unique(context[first], return_inverse=True)
-                total, types = np.bincount(where, count), np.bincount(where)
-                table[lang] = (keys, count, context[first], rest[first] if n > 1 else None, discount)
-                totals[lang] = (ctx, total, types)
-            union, first = np.unique(np.concatenate([t[0] for t in table.values()]), return_index=True)
-            context = np.concatenate([t[2] for t in table.values()])[first]
-            all_ctx = np.unique(np.concatenate([t[0] for t in totals.values()]))
-            p = np.empty((len(union), len(self.langs)))
-            back = np.ones((len(all_ctx), len(self.langs)))
-            if n > 1:
-                rest = np.concatenate([t[3] for t in table.values()])[first]
-                lower = below[find(self.keys[n - 1], rest)[0]]
+        self.bound = np.inf
+        letters = {c for own in counts.values() for w in own for c in w}
+        self.floor = -float(np.log(len(letters) + 2))  # all letters, a boundary and one unseen
+        tables = [self._fit(counts[lang]) for lang in self.langs]
+        self.grams = {n: Table([t[n][0] for t in tables], [np.log(t[n][1]) for t in tables]) for n in range(1, order + 1)}
+        self.contexts = {n: Table([t[n][2] for t in tables], [np.log(t[n][3]) for t in tables]) for n in range(1, order + 1)}
+
+    def _fit(self, counts: dict[str, int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By order: n-grams, their probabilities, contexts, their back-off weights; of one language."""
+        words = sorted(counts)
+        points, at, word = symbols(words, self.order)
+        weight = np.array([counts[w] for w in words], np.float64)[word]
+        out: dict = {}
+        for n in range(1, self.order + 1):
+            keys, first, inverse = np.unique(grams(points, at, n), return_index=True, return_inverse=True)
+            if n == self.order:
+                count = np.bincount(inverse, weight)
+            else:  # different symbols to the left
+                _, one = np.unique(grams(points, at, n + 1), return_index=True)
+                count = np.bincount(inverse[one], minlength=len(keys)).astype(np.float64)
+            n1, n2 = (count == 1).sum(), (count == 2).sum()
+            discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+            context, where = np.unique(grams(points, at[first], n - 1, 1), return_inverse=True)
+            total = np.bincount(where, count)
+            back = discount * np.bincount(where) / total
+            if n == 1:
+                lower = np.exp(self.floor)
             else:
-                lower = np.full_like(p, 1 / alphabet)
-            for k, lang in enumerate(self.langs):
-                keys, count, _, _, discount = table[lang]
-                ctx, total, types = totals[lang]
-                at, there = find(keys, union)
-                a = np.where(there, count[at], 0)
-                c, known = find(ctx, context)
-                rate = discount * types / total
-                p[:, k] = np.where(known, np.maximum(a - discount, 0) / total[c] + rate[c] * lower[:, k], lower[:, k])
-                back[find(all_ctx, ctx)[0], k] = rate
-            self.keys[n], self.logs[n], below = union, np.log(p).astype(np.float32), p
-            self.contexts[n], self.backoffs[n] = all_ctx, np.log(back).astype(np.float32)
+                below = out[n - 1]
+                lower = below[1][np.searchsorted(below[0], grams(points, at[first], n - 1))]
+            p = np.maximum(count - discount, 0) / total[where] + back[where] * lower
+            out[n] = (keys, p, context, back)
+        return out
 
     def digest(self) -> bytes:
         """Tells these models from others."""
         import xxhash
 
-        out = xxhash.xxh3_128(repr((self.langs, sorted(self.limits.items()))).encode())
-        for n in self.keys:
-            out.update(self.keys[n].tobytes())
-            out.update(self.logs[n].tobytes())
+        out = xxhash.xxh3_128(repr((self.langs, sorted(self.limits.items()), self.bound)).encode())
+        for n in self.grams:
+            out.update(self.grams[n].keys.tobytes())
+            out.update(self.grams[n].value.tobytes())
         return out.digest()
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each word, the log probability by language and the number of predictions."""
         points, at, word = symbols(words, self.order)
-        out = np.zeros((len(at), len(self.langs)))
-        left = np.arange(len(at))
+        many = len(self.langs)
+        out, left = np.zeros(len(at) * many), np.ones(len(at) * many, bool)
         for n in range(self.order, 0, -1):
-            k, there = find(self.keys[n], grams(points, at[left], n))
-            out[left[there]] += self.logs[n][k[there]]
-            left = left[~there]
-            if not len(left):
+            active = np.flatnonzero(left.reshape(-1, many).any(1))
+            if not len(active):
                 break
-            k, there = find(self.contexts[n], grams(points, at[left], n - 1, 1))
-            out[left[there]] += self.backoffs[n][k[there]]
+            place, lang, value = self.grams[n].entries(grams(points, at[active], n))
+            cell = active[place] * many + lang
+            new = left[cell]
+            out[cell[new]] += value[new]
+            left[cell] = False
+            place, lang, value = self.contexts[n].entries(grams(points, at[active], n - 1, 1))
+            cell = active[place] * many + lang
+            new = left[cell]
+            out[cell[new]] += value[new]
         out[left] += self.floor
         size = np.bincount(word, minlength=len(words))
-        total = np.stack([np.bincount(word, out[:, k], len(words)) for k in range(len(self.langs))], 1)
-        return total, size
+        out = out.reshape(-1, many)
+        return np.stack([np.bincount(word, out[:, k], len(words)) for k in range(many)], 1), size
+
+    def excess(self, lang: str, cross_entropy: float, n: int) -> float:
+        """How far a text's cross-entropy lies above its language's mean, in units of the spread that texts of its length have."""
+        mean, spread = self.limits.get(lang, (np.inf, 0.0))
+        return (cross_entropy - mean) / (spread + 1.5 / np.sqrt(n)) if mean < np.inf else -np.inf
 
 
 class Scorer(dict):
@@ -170,42 +198,48 @@ class Scorer(dict):
     def settle(self) -> None:
         if not self.new:
             return
-        runs = [letter_runs(t.decode()) for t in self.new]
+        letters = _letters()
+        runs = [letters(t.decode().lower()) for t in self.new]
         sums, sizes = np.zeros((len(runs), len(self.models.langs))), np.zeros(len(runs), np.int64)
         flat = [r for own in runs for r in own]
         owner = np.repeat(np.arange(len(runs)), [len(own) for own in runs])
-        for k in range(0, len(flat), 10_000):  # some at a time bounds the arrays
-            total, size = self.models.words(flat[k : k + 10_000])
-            np.add.at(sums, owner[k : k + 10_000], total)
-            np.add.at(sizes, owner[k : k + 10_000], size)
-        # room for more, so that growing costs little
+        step = max(100, 40_000 // len(self.models.langs))
+        for k in range(0, len(flat), step):  # some at a time bounds the arrays
+            total, size = self.models.words(flat[k : k + step])
+            np.add.at(sums, owner[k : k + step], total)
+            np.add.at(sizes, owner[k : k + step], size)
         self.table, self.sizes = np.concatenate([self.table, sums]), np.concatenate([self.sizes, sizes])
         self.new = []
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy by language (nats a prediction) and predictions of each text."""
-        if len(self) > KEPT:
+        if len(self) > min(KEPT, KEPT_NUMBERS // len(self.models.langs)):
             self.reset()
-        ids = [np.fromiter(map(self.__getitem__, w), np.int64, len(w)) for w in ((x or "").encode().split() for x in texts)]
+        codes, words, begin = words_of([x or "" for x in texts])
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))[codes]
         self.settle()
-        sums = np.stack([self.table[i].sum(0) for i in ids]) if ids else np.zeros((0, len(self.models.langs)))
-        n = np.array([self.sizes[i].sum() for i in ids], np.int64)
+        n = np.concatenate([[0], np.cumsum(self.sizes[rows])])
+        n = n[begin[1:]] - n[begin[:-1]]
+        sums = np.zeros((len(texts), len(self.models.langs)))
+        full = np.flatnonzero(np.diff(begin))
+        if len(full):
+            sums[full] = np.add.reduceat(self.table[rows], begin[full], axis=0)
         return -sums / np.maximum(n, 1)[:, None], n
 
     def label(self, texts: list[str | None]) -> pd.DataFrame:
         out = []
         for h, n in zip(*self.texts(texts), strict=True):
             if not n:
-                out.append(("und", 0.0, None, True))
+                out.append(("und", 0.0, None, True, 0))
                 continue
             k = int(h.argmin())
             lang = self.models.langs[k]
             score = 1 / np.exp(-(h - h[k]) * min(n, 200)).sum()
-            mean, spread = self.models.limits.get(lang, (np.inf, 0.0))
-            # far beyond its language's calibration, and nearer to letters drawn at random
-            limit = max(mean + 8 * (spread + 1.5 / np.sqrt(n)), (mean - self.models.floor) / 2)
-            out.append((lang, float(score), float(h[k]), bool(h[k] > limit)))
-        return pd.DataFrame(out, columns=["lang_pred", "score", "cross_entropy", "rejected"])
+            # beyond what its language had, and nearer to letters drawn at random
+            mean = self.models.limits.get(lang, (np.inf, 0.0))[0]
+            rejected = self.models.excess(lang, h[k], n) > self.models.bound and h[k] > (mean - self.models.floor) / 2
+            out.append((lang, float(score), float(h[k]), bool(rejected), int(n)))
+        return pd.DataFrame(out, columns=["lang_pred", "score", "cross_entropy", "rejected", "predictions"])
 
 
 def _udf(kept) -> object:
@@ -224,21 +258,22 @@ def _udf(kept) -> object:
 def sample(docs: DataFrame, most_chars: int, longest: int, doc_id: str, text: str, lang: str) -> DataFrame:
     """lang, text, calibrate: labelled rows up to about `most_chars` code points, shared evenly by the languages; one in eight is for calibration."""
     rows = docs.where(F.col(lang).isNotNull() & (F.char_length(text) <= longest)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.lit("language"), F.col(doc_id)), F.lit(1 << 30)).alias("h"))
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("n")).collect()}
-    if not totals:
-        return rows.select("lang", "text", F.lit(False).alias("calibrate")).limit(0)
-    if len(totals) > 500:
-        raise ValueError(f"{len(totals)} labels: not languages")
-    share = most_chars / len(totals)
-    cut = F.lit(0)
-    for name, n in sorted(totals.items()):
-        cut = F.when(F.col("lang") == name, int(min(1.0, share / max(n, 1)) * (1 << 30))).otherwise(cut)
-    return rows.where(F.col("h") < cut).select("lang", "text", (F.pmod(F.xxhash64(F.lit("calibrate"), "h"), F.lit(8)) == 0).alias("calibrate"))
-
-
-def fit(docs: DataFrame, most_chars: int = 2_000_000, longest: int = 100_000, order: int = 4, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Models | None:
-    """Models from labelled rows; None without any letter to learn from."""
-    rows = sample(docs, most_chars, longest, doc_id, text, lang).persist()
+    totals = rows.groupBy(F.col("lang").alias("l")).agg(F.sum(F.char_length("text")).alias("n"))
+    share = F.lit(float(most_chars)) / F.lit(float(max(1, totals.count())))
+    cuts = totals.select("l", (F.least(F.lit(1.0), share / F.greatest("n", F.lit(1))) * (1 << 30)).cast("long").alias("cut"))
+    kept = rows.join(cuts, F.col("lang") == F.col("l")).where(F.col("h") < F.col("cut"))
+    return kept.select("lang", "text", (F.pmod(F.xxhash64(F.lit("calibrate"), "h"), F.lit(8)) == 0).alias("calibrate"))
+
+
+def fit(docs: DataFrame, most_chars: int = 2_000_000, longest: int = 100_000, order: int = 4, false_rejects: float = 0.001, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Models | None:
+    """Models from labelled rows, of any number of languages; None without any letter to learn from.
+
+    `most_chars` bounds the sample, texts over `longest` code points don't enter
+    it. `false_rejects` is the share of the calibration texts that the bound lets
+    be exceeded; with fewer than 1 / false_rejects of them it lies above them all,
+    by a quarter of their range.
+    """
+    rows = Scratch(docs.sparkSession, "language").write(sample(docs, most_chars, longest, doc_id, text, lang))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter = Counter()
@@ -249,33 +284,40 @@ def fit(docs: DataFrame, most_chars: int = 2_000_000, longest: int = 100_000, or
 
     counted = rows.where(~F.col("calibrate")).select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = {}
-    for name, word, n in counted.toPandas().itertuples(index=False):
+    for name, word, n in counted.toPandas().itertuples(index=False):  # at most as many rows as the sample has words
         counts.setdefault(name, {})[word] = int(n)
     if not counts:
-        rows.unpersist()
         return None
     models = Models(counts, order)
-    held = rows.where("calibrate").select(_udf(docs.sparkSession.sparkContext.broadcast(models))("text").alias("r")).where("r.cross_entropy is not null")
-    for r in held.groupBy("r.lang_pred").agg(F.avg("r.cross_entropy").alias("m"), F.coalesce(F.stddev("r.cross_entropy"), F.lit(0.0)).alias("s"), F.count("*").alias("n")).collect():
-        if r["n"] >= 8:
-            models.limits[r["lang_pred"]] = (r["m"], r["s"])
-    rows.unpersist()
+    held = rows.where("calibrate").select(_udf(docs.sparkSession.sparkContext.broadcast(models))("text").alias("r")).where("r.predictions > 0")
+    calibrate(models, held.select("r.lang_pred", "r.cross_entropy", "r.predictions").toPandas(), false_rejects)
     return models
 
 
+def calibrate(models: Models, held: pd.DataFrame, false_rejects: float, fewest: int = 8) -> None:
+    """Sets limits and bound from lang_pred, cross_entropy, predictions of texts the counts don't have; without such texts nothing is rejected."""
+    for name, own in held.groupby("lang_pred"):
+        if len(own) >= fewest:
+            models.limits[name] = (float(own["cross_entropy"].mean()), float(own["cross_entropy"].std()))
+    z = np.sort([models.excess(*r) for r in held.itertuples(index=False) if r[0] in models.limits])
+    if len(z):
+        over = int(false_rejects * len(z))
+        models.bound = float(z[-1 - over]) if over else float(z[-1] + (z[-1] - z[0]) / 4)
+
+
 def identify(docs: DataFrame, models: Models | None, text: str = "text") -> Column:
-    """A struct lang_pred, score, cross_entropy, rejected for each row of docs.
+    """A struct lang_pred, score, cross_entropy, rejected, predictions for each row of docs.
 
     A null text, or one with no letter, is `und` with score 0 and rejected; so
     is everything where nothing could be learned. Texts are read whole.
     """
     if models is None:
-        return F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
+        return F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"), F.lit(0).cast("long").alias("predictions"))
     return _udf(docs.sparkSession.sparkContext.broadcast(models))(F.coalesce(F.col(text), F.lit("")))
 
 
 def language_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **args) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, cross_entropy, rejected of every row; learns from rows whose crc32(doc_id) mod 3 is not 1 (a null id counts as the empty text)."""
+    """doc_id, held_out, lang_pred, score, cross_entropy, rejected, predictions of every row; learns from rows whose crc32(doc_id) mod 3 is not 1 (a null id counts as the empty text)."""
     from ._common import crc_mod
 
     models = fit(docs.where(crc_mod(doc_id, 3) != 1), doc_id=doc_id, text=text, lang=lang, **args)

@@ -14,31 +14,73 @@ from driftlake.llm import language_id, lm_scoring
 COUNTS = {"en": {"the": 30, "then": 4, "cat": 5, "cats": 2, "hat": 3}, "xx": {"zug": 9, "zu": 20, "gut": 4, "tag": 3}}
 
 
-def test_kneser_ney_sums_to_one():
+def _kneser_ney(counts, alphabet, order=4):
+    """Brute force: a function that gives log P(symbol | symbols before) of one language, with tuples and Counters."""
+    whole = Counter()
+    for w, c in counts.items():
+        padded = ("",) * (order - 1) + tuple(w) + ("",)
+        for i in range(order - 1, len(padded)):
+            whole[padded[i - order + 1 : i + 1]] += c
+    tables = {order: whole}
+    for n in range(order - 1, 0, -1):
+        longer = {g[-n - 1 :] for g in whole}
+        tables[n] = Counter(g[1:] for g in longer)
+    discounts = {}
+    for n, t in tables.items():
+        n1, n2 = sum(c == 1 for c in t.values()), sum(c == 2 for c in t.values())
+        discounts[n] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+    def p(symbol, before, n=order):
+        if n == 0:
+            return 1 / alphabet
+        before = before[len(before) - n + 1 :]
+        own = {g: c for g, c in tables[n].items() if g[:-1] == before}
+        lower = p(symbol, before[1:], n - 1)
+        total = sum(own.values())
+        if not total:
+            return lower
+        return max(own.get((*before, symbol), 0) - discounts[n], 0) / total + discounts[n] * len(own) / total * lower
+
+    return p
+
+
+def test_kneser_ney_against_brute_force():
     m = language_id.Models(COUNTS)
     letters = sorted({c for d in COUNTS.values() for w in d for c in w})
-    for k in range(2):
-        for before in ("", "t", "th", "zu", "qq", "cat"):
-            total = 0.0
-            for end in [*letters, None]:
-                whole = before + (end or "")
-                points, at, _ = language_id.symbols([whole], m.order)
-                # only the prediction after `before`
-                total += math.exp(_one(m, points, at[len(before)])[k])
-            assert total == pytest.approx(1, abs=0.12)  # letters no language has share the rest
-
-
-def _one(m, points, at):
-    at = np.array([at])
-    out = np.zeros(len(m.langs))
-    for n in range(m.order, 0, -1):
-        k, there = language_id.find(m.keys[n], language_id.grams(points, at, n))
-        if there[0]:
-            return out + m.logs[n][k[0]]
-        k, there = language_id.find(m.contexts[n], language_id.grams(points, at, n - 1, 1))
-        if there[0]:
-            out = out + m.backoffs[n][k[0]]
-    return out + m.floor
+    words = ["the", "then", "cat", "zug", "that", "", "q", "hezu", "guttag", "zzzz", "catscats"]
+    got, sizes = m.words(words)
+    for k, lang in enumerate(m.langs):
+        p = _kneser_ney(COUNTS[lang], len(letters) + 2)
+        for w, x in zip(words, got[:, k], strict=True):
+            padded = ("",) * 3 + tuple(w) + ("",)
+            assert x == pytest.approx(sum(math.log(p(padded[i], padded[i - 3 : i])) for i in range(3, len(padded))), rel=1e-5)
+        for before in (("", "", ""), ("", "", "t"), ("", "t", "h"), ("q", "q", "q"), ("c", "a", "t")):
+            assert sum(p(c, before) for c in [*letters, ""]) + p("?", before) == pytest.approx(1)
+    assert sizes.tolist() == [len(w) + 1 for w in words]
+
+
+def test_many_labels(spark):
+    """Any number of labels; tables grow with what was seen."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(6)), f"l{i % 700}") for i in range(1400)]
+    got = language_id.language_report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == 1400 and len({r["lang_pred"] for r in got}) > 300
+    learnt = {f"l{i % 700}" for i in range(1400) if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert {r["lang_pred"] for r in got} <= learnt
+
+
+def test_rejection_rate():
+    """The limit rejects the stated share of the texts it was measured on."""
+    import pandas as pd
+
+    m = language_id.Models(COUNTS)
+    rng = np.random.default_rng(9)
+    held = pd.DataFrame({"lang_pred": ["en", "xx"] * 1000, "cross_entropy": rng.gamma(9, 0.2, 2000), "predictions": rng.integers(5, 400, 2000)})
+    language_id.calibrate(m, held, 0.01)
+    over = np.mean([m.excess(*r) > m.bound for r in held.itertuples(index=False)])
+    assert over == pytest.approx(0.01, abs=1e-3)
+    language_id.calibrate(m, held, 0.0001)
+    assert not any(m.excess(*r) > m.bound for r in held.itertuples(index=False))
 
 
 def test_words_score_best_in_their_language():
