@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 SMALLEST, USUAL, COMMON = 3, 64, 7
+#: About how many bytes of text a range of doc_id has.
+IN_RANGE = 64 << 20
 #: A random value for each byte, made by a rule.
 GEAR = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=4).digest(), "little") for i in range(256)], np.uint32)
 
@@ -121,7 +123,7 @@ REPORT = "doc_id string, n_chars long, edited_sha256 string, fingerprint string,
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fingerprint of every row; a null text counts as empty."""
+    """doc_id, fingerprint of every row. A null text counts as empty; repeated rows each get theirs; an empty table gives none."""
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
@@ -142,7 +144,9 @@ def compare_neighbours(docs: DataFrame, parts: int | None = None, doc_id: str =
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
+    if not parts:
+        size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, -(-size // IN_RANGE))
     cuts = slim.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100 * parts).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))
     slim = slim.withColumn("part", _bisect(cuts, F.col("doc_id")).cast("int"))
@@ -154,7 +158,7 @@ def compare_neighbours(docs: DataFrame, parts: int | None = None, doc_id: str =
     is_head = F.col("head_id").eqNullSafe(F.col("doc_id")) & (F.col("head_th") == F.xxhash64("text"))
     own, ahead = F.struct(F.col("part").alias("p"), F.lit(0).alias("ahead")), F.struct(F.col("before").alias("p"), F.lit(1).alias("ahead"))
     slim = both.select("doc_id", "text", F.inline(F.when(is_head, F.array(own, ahead)).otherwise(F.array(own))))
-    dealt = slim.repartition(max(2, len(order)), "p").sortWithinPartitions("p", "ahead", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
+    dealt = slim.repartitionById(max(2, parts), "p").sortWithinPartitions("p", "ahead", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None  # part, ahead, id, text, fingerprint
@@ -176,17 +180,20 @@ def compare_neighbours(docs: DataFrame, parts: int | None = None, doc_id: str =
 
 
 def _bisect(cuts: list[int], value):
-    """How many cuts are below the value, by a balanced tree of comparisons."""
+    """How many cuts are below the value, by halving."""
     if not cuts:
         return F.lit(0)
+    lits = F.array(*map(F.lit, cuts))
 
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value > cuts[mid], tree(mid + 1, hi)).otherwise(tree(lo, mid))
+    def halved(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        above = value > F.get(lits, mid)
+        found = s["lo"] >= s["hi"]
+        return F.struct(F.when(found | ~above, s["lo"]).otherwise(mid + 1).alias("lo"), F.when(found | above, s["hi"]).otherwise(mid).alias("hi"))
 
-    return F.when(value.isNull(), 0).otherwise(tree(0, len(cuts)))
+    rounds = F.array_repeat(F.lit(0), len(cuts).bit_length())
+    ends = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+    return F.when(value.isNull(), 0).otherwise(F.aggregate(rounds, ends, halved)["lo"])
 
 
 def _compare(a: tuple, b: tuple) -> tuple:

@@ -23,9 +23,10 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def row_hash(doc_id: Column) -> Column:
-    """The first 60 bits of the md5 of the id's text (null: of the empty text)."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, BITS // 4), 16, 10).cast("long")
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """The first 60 bits of the md5 of the id's text, a line end and the text (null: empty)."""
+    whole = F.concat_ws("\n", F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, BITS // 4), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3) -> DataFrame:
@@ -88,11 +89,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
 
     A row is taken `rounds` times, and once more if its hash is below the
     threshold. A null text has size 0; null sources are one source, the last.
-    Rows with the same doc_id in a source are taken together. Other columns are
-    not read. An empty table gives no rows and no goals.
+    Rows of a source with the same doc_id and text are taken together. Other
+    columns are not read. An empty table gives no rows and no goals.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = scratch.write(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), row_hash(F.col(doc_id)).alias("hash")))
+    rows = scratch.write(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), row_hash(F.col(doc_id), F.col(text)).alias("hash")))
     goals = scratch.write(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
     return rows, scratch.write(thresholds(rows, goals, scratch))
 
@@ -108,10 +109,10 @@ def taken(docs: DataFrame, **args) -> DataFrame:
     return both.select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", **args) -> DataFrame:
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **args) -> DataFrame:
     """The mix itself: rows of docs, each as often as it is taken; all columns stay."""
-    _, goals = mix(docs, doc_id=doc_id, source=source, **args)
+    _, goals = mix(docs, doc_id=doc_id, text=text, source=source, **args)
     goals = goals.select(F.struct(F.col("source").alias("s"), "rounds", "threshold").alias("__goal"))
     both = docs.join(goals, F.col(source).eqNullSafe(F.col("__goal")["s"]))
-    n = F.col("__goal")["rounds"] + F.when(row_hash(F.col(doc_id)) < F.col("__goal")["threshold"], 1).otherwise(0)
+    n = F.col("__goal")["rounds"] + F.when(row_hash(F.col(doc_id), F.col(text)) < F.col("__goal")["threshold"], 1).otherwise(0)
     return both.withColumn("__copy", F.explode(F.array_repeat(F.lit(True), n.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
