@@ -113,6 +113,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def clean(spark: SparkSession) -> None:
+    """Lets Spark see which shuffled data nothing refers to any more; it removes them in the background."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 class Scratch:
     """Written tables in the shared folder: they cut lineage and survive lost executors."""
 

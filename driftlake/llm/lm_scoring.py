@@ -1,8 +1,8 @@
 """Operator 8: language-model scores from a log-frequency Bloom filter.
 
-1. Texts are taken in runs of a few MB. A run sends its different n-grams of each
-   order, as sorted 64-bit hashes with their counts in training texts (0: only in
-   held-out ones), packed by hash range.
+1. Texts are taken in runs of a few MB, kept as numbers of their words. A run sends
+   its different n-grams of each order, as sorted hashes with their counts in
+   training texts (0: only in held-out ones), packed by hash range.
 2. The task of a range sums up the counts. Those of single words stay exact, as
    the base score needs them. Pairs and triples go into the range's block of the
    filter: an n-gram seen c times has a level of about 2 log2(c), 1 at least, and
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, crc_mod, release, trim, words_of
+from ._common import Scratch, clean, crc_mod, release, trim, words_of
 
 if TYPE_CHECKING:
     import pyarrow as pa
@@ -38,7 +38,9 @@ if TYPE_CHECKING:
 #: The end of a text, which no word can be, and the hashes of a start and of two.
 END, START, START2 = b"\n", np.uint64(0x5151515151515151), np.uint64(0x2E2E2E2E2E2E2E2E)
 #: Code points in a run; highest level; probes for each number; bits for each number held.
-CHUNK, LEVELS, PROBES, BITS = 5 << 20, 96, 5, 14.0
+CHUNK, LEVELS, PROBES, BITS = 6 << 20, 96, 6, 20.0
+#: Bits after its range by which a pair or triple is told.
+SHORT = 29
 #: Ratios of two shares are told apart by steps of an octave's sixteenth, from 2**-256 on.
 STEPS, RATIOS = 16, 8192
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -74,6 +76,16 @@ def count_of() -> np.ndarray:
 VALUES = count_of()
 
 
+def fine_levels() -> tuple[np.ndarray, np.ndarray]:
+    """Of single words, by steps of an octave's eighth: the least count of each level from 1 on, and the mean of each (0: none)."""
+    least = np.array(sorted({math.ceil(2 ** (k / 8) - 1e-9) for k in range(8 * 40)}), np.float64)[:255]
+    after = np.append(least[1:], least[-1] * 2 ** (1 / 8))
+    return least, np.concatenate([[0.0], (least + np.maximum(np.ceil(after) - 1, least)) / 2])
+
+
+WORD_LEAST, WORD_VALUES = fine_levels()
+
+
 class Block:
     """The filter of one hash range."""
 
@@ -135,8 +147,8 @@ def unpacked(data: bytes, kind: str = "<u4") -> np.ndarray:
 
 
 def short(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """The 32 bits after a hash's range, by which pairs and triples are told apart inside it."""
-    return (keys << np.uint64(ranges.bit_length() - 1)) >> np.uint64(32)
+    """The bits after a hash's range, by which pairs and triples are told apart inside it."""
+    return (keys << np.uint64(ranges.bit_length() - 1)) >> np.uint64(64 - SHORT)
 
 
 def hashes(codes: np.ndarray, word_hash: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,19 +162,26 @@ def hashes(codes: np.ndarray, word_hash: np.ndarray, n: np.ndarray) -> tuple[np.
     return word, pair, pair_hash(history, word)
 
 
-RUNS = "kind int, run long, range int, n long, keys binary, counts binary, ids array<long>, held array<boolean>, sizes array<long>"
+TEXTS = "run long, codes binary, words binary, ids array<long>, held array<boolean>, sizes array<long>"
+RUNS = "kind int, run long, range int, keys binary, counts binary"
 
 
-def _runs(ranges: int):
-    """Rows of kind 0 (a run's texts: ids, words) and WORD, PAIR, TRIPLE (its n-grams of a range)."""
+def _batch(names: str, rows: list[tuple]) -> pa.RecordBatch:
     import pyarrow as pa
 
-    types = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
-    schema = pa.schema([(c.split()[0], t) for c, t in zip(RUNS.split(", "), types, strict=True)])
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+    columns = [c.split() for c in names.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[t]) for k, (_, t) in enumerate(columns)], [n for n, _ in columns])
 
-    def emit(run: int, texts: list[str], ids: list, held: list[bool]) -> pa.RecordBatch:
-        import xxhash
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each run: its texts as numbers of their words, and the words' hashes in order."""
+    import xxhash
+    from pyspark import TaskContext
+
+    release()
+
+    def emit(run: int, texts: list[str], ids: list, held: list[bool]) -> pa.RecordBatch:
         found, words, begin = words_of(texts)
         n = np.diff(begin) + 1
         ends = np.cumsum(n) - 1
@@ -177,39 +196,51 @@ def _runs(ranges: int):
         order = np.argsort(word_hash)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        codes, word_hash = place[codes], word_hash[order]
-        learnt = np.repeat(~np.array(held, bool), n)
-        rows = [(0, run, -1, len(codes), packed(codes), packed(word_hash, "<u8"), ids, held, n.tolist())]
-        for kind, keys in zip((WORD, PAIR, TRIPLE), hashes(codes, word_hash, n), strict=True):
-            if kind == WORD:
-                keys, counts = word_hash, np.bincount(codes, learnt, len(word_hash))
-            else:
-                keys, inverse = np.unique(keys, return_inverse=True)
-                counts = np.bincount(inverse, learnt, len(keys))
-            own, counts = range_of(keys, ranges), counts.astype(np.int64)
-            cuts = np.flatnonzero(np.diff(own, prepend=-1))
-            fine = keys if kind == WORD else short(keys, ranges)
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True):
-                rows.append((kind, run, int(own[a]), b - a, packed(np.diff(fine[a:b], prepend=np.uint64(0)), "<u8" if kind == WORD else "<u4"), packed(counts[a:b]), None, None, None))
-        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        return _batch(TEXTS, [(run, packed(place[codes]), packed(np.diff(word_hash[order], prepend=np.uint64(0)), "<u8"), ids, held, n.tolist())])
+
+    number = TaskContext.get().partitionId() << 20
+    texts, ids, held, size = [], [], [], 0
+    for batch in batches:
+        for i, x, h in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            texts.append(x)
+            ids.append(i)
+            held.append(h)
+            size += len(x) + 16
+            if size > CHUNK:
+                yield emit(number, texts, ids, held)
+                texts, ids, held, size, number = [], [], [], 0, number + 1
+    if texts:
+        yield emit(number, texts, ids, held)
+    trim()
+
+
+def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the words, the words' hashes, tokens of each text."""
+    return unpacked(row["codes"]).astype(np.int64), np.cumsum(unpacked(row["words"], "<u8"), dtype=np.uint64), np.array(row["sizes"], np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        release()
-        number = TaskContext.get().partitionId() << 20
-        texts, ids, held, size = [], [], [], 0
+def _runs(ranges: int):
+    """A run's n-grams by kind and range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, x, h in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                texts.append(x)
-                ids.append(i)
-                held.append(h)
-                size += len(x) + 16
-                if size > CHUNK:
-                    yield emit(number, texts, ids, held)
-                    texts, ids, held, size, number = [], [], [], 0, number + 1
-        if texts:
-            yield emit(number, texts, ids, held)
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                codes, word_hash, n = _tokens(row)
+                learnt = np.repeat(~np.array(row["held"], bool), n)
+                rows = []
+                for kind, keys in zip((WORD, PAIR, TRIPLE), hashes(codes, word_hash, n), strict=True):
+                    if kind == WORD:
+                        keys, counts = word_hash, np.bincount(codes, learnt, len(word_hash))
+                    else:
+                        keys, inverse = np.unique(keys, return_inverse=True)
+                        counts = np.bincount(inverse, learnt, len(keys))
+                    own = range_of(keys, ranges)
+                    cuts = np.flatnonzero(np.diff(own, prepend=-1))
+                    fine, form = (keys, "<u8") if kind == WORD else (short(keys, ranges), "<u4")
+                    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True):
+                        rows.append((kind, row["run"], int(own[a]), packed(np.diff(fine[a:b], prepend=np.uint64(0)), form), packed(counts[a:b])))
+                yield _batch(RUNS, rows)
         trim()
 
     return run
@@ -243,11 +274,11 @@ def _answers(bits_each: float):
     return run
 
 
-READ = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, counts binary, pairs binary, triples binary"
+READ = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, words binary, pairs binary, triples binary"
 
 
 def _assemble(divisor: float):
-    """A run's texts, with the count of each token and the levels of its pair and triple."""
+    """A run's texts, with the level of each token, its pair and its triple."""
 
     def run(rows: pa.Table) -> pa.Table:
         import pyarrow as pa
@@ -255,18 +286,19 @@ def _assemble(divisor: float):
         own = rows.filter(pa.compute.equal(rows["kind"], 0)).to_pylist()[0]
         answers = rows.filter(pa.compute.greater(rows["kind"], 0)).select(["kind", "range", "data"]).sort_by([("kind", "ascending"), ("range", "ascending")]).to_pylist()
         found = {k: np.concatenate([unpacked(x["data"], "<u8" if k == WORD else "u1") for x in answers if x["kind"] == k]) for k in (WORD, PAIR, TRIPLE)}
-        codes, n = unpacked(own["keys"]).astype(np.int64), np.array(own["sizes"], np.int64)
-        _, pair, triple = hashes(codes, unpacked(own["counts"], "<u8"), n)
-        count = found[WORD].astype(np.int64)[codes]
+        codes, word_hash, n = _tokens(own)
+        _, pair, triple = hashes(codes, word_hash, n)
+        count = found[WORD].astype(np.float64)
+        base, known = np.log10((count + 0.1) / divisor)[codes], (count > 0)[codes]
+        words = np.searchsorted(WORD_LEAST, count, "right").astype(np.uint8)[codes]
         pairs, triples = (found[k][np.unique(keys, return_inverse=True)[1]] for k, keys in ((PAIR, pair), (TRIPLE, triple)))
         starts = np.cumsum(n) - n
-        base = np.add.reduceat(np.log10((count + 0.1) / divisor), starts)
         cuts = list(zip(starts.tolist(), (starts + n).tolist(), strict=True))
+        texts = lambda x: pa.array([packed(x[a:b], "u1") for a, b in cuts], pa.binary())
         out = {
             "doc_id": pa.array(own["ids"], pa.int64()), "held_out": pa.array(own["held"], pa.bool_()), "n_tokens": pa.array(n),
-            "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)), "base_score": pa.array(base),
-            "counts": pa.array([packed(count[a:b], "<u8") for a, b in cuts], pa.binary()),
-            "pairs": pa.array([pairs[a:b].tobytes() for a, b in cuts], pa.binary()), "triples": pa.array([triples[a:b].tobytes() for a, b in cuts], pa.binary()),
+            "n_known": pa.array(np.add.reduceat(known.astype(np.int64), starts)), "base_score": pa.array(np.add.reduceat(base, starts)),
+            "words": texts(words), "pairs": texts(pairs), "triples": texts(triples),
         }
         return pa.table(out)
 
@@ -285,12 +317,11 @@ class Mixture:
     def __init__(self, texts: float, divisor: float, weights: dict[int, np.ndarray]):
         self.texts, self.divisor, self.weights = texts, divisor, weights
 
-    def shares(self, n: np.ndarray, count: np.ndarray, pairs: np.ndarray, triples: np.ndarray, less: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    def shares(self, n: np.ndarray, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, less: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(kind, level of the history, share, probability by shorter histories) of pairs and, if pairs have weights, of triples."""
-        starts = np.cumsum(n) - n
-        lower = np.maximum(count - less, 0) + 0.1
-        lower = lower / self.divisor
-        history = np.roll(count, 1).astype(np.float64)
+        starts, count = np.cumsum(n) - n, WORD_VALUES[words]
+        lower = (np.maximum(count - less, 0) + 0.1) / self.divisor
+        history = np.roll(count, 1)
         history[starts] = self.texts
         longer = np.roll(VALUES[pairs], 1)
         longer[starts] = self.texts
@@ -324,10 +355,9 @@ def fitted(cell: np.ndarray, n: np.ndarray, rounds: int = 30) -> np.ndarray:
     return out
 
 
-def _arrays(part: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n = np.array(part["n_tokens"], np.int64)
-    count = np.concatenate([unpacked(x, "<u8") for x in part["counts"]]).astype(np.int64)
-    return n, count, np.frombuffer(b"".join(part["pairs"]), np.uint8).astype(np.int64), np.frombuffer(b"".join(part["triples"]), np.uint8).astype(np.int64)
+def _arrays(part: dict) -> tuple[np.ndarray, ...]:
+    """Tokens of each text; levels of all tokens, their pairs and their triples."""
+    return np.array(part["n_tokens"], np.int64), *(np.concatenate([unpacked(x, "u1") for x in part[c]]).astype(np.int64) for c in ("words", "pairs", "triples"))
 
 
 def _parts(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[dict]:
@@ -354,17 +384,20 @@ def score(docs: DataFrame, in_range: int = 2_000_000, bits_each: float = BITS, d
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (crc_mod(doc_id, 10) == 0).alias("held"))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = 1 << max(4, int(size / 6 / in_range).bit_length())
-    parts = scratch.write(slim.mapInArrow(_runs(ranges), RUNS), "kind")
-    asked = parts.where("kind > 0").select("kind", "run", "range", "n", "keys", "counts")
-    answers = scratch.write(asked.groupBy("kind", "range").applyInPandas(_answers(bits_each), ANSWERS))
+    runs = scratch.write(slim.mapInArrow(_texts, TEXTS))
+    answers = scratch.write(runs.mapInArrow(_runs(ranges), RUNS).groupBy("kind", "range").applyInPandas(_answers(bits_each), ANSWERS))
+    clean(spark)  # what was shuffled for the answers
     made = answers.where(F.col("run") < 0)
     total, different = made.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     divisor = total + 0.1 * (different + 1)
     texts = slim.where(~F.col("held")).count()
 
-    own = parts.where("kind = 0").select("kind", "run", "range", "keys", "counts", "ids", "held", "sizes", F.lit(None).cast("binary").alias("data"))
-    back = answers.where(F.col("run") >= 0).select("kind", "run", "range", *[F.lit(None).cast(own.schema[c].dataType).alias(c) for c in ("keys", "counts", "ids", "held", "sizes")], "data")
+    none = lambda kind: F.lit(None).cast(kind)
+    own = runs.select(F.lit(0).alias("kind"), "run", F.lit(-1).alias("range"), none("binary").alias("data"), "codes", "words", "ids", "held", "sizes")
+    back = answers.where(F.col("run") >= 0).select("kind", "run", "range", "data", *[none(runs.schema[c].dataType).alias(c) for c in ("codes", "words", "ids", "held", "sizes")])
     read = scratch.write(own.unionByName(back).groupBy("run").applyInArrow(_assemble(divisor), READ))
+    scratch.drop(runs)
+    clean(spark)
 
     weights: dict[int, np.ndarray] = {}
     for kind in (PAIR, TRIPLE):
@@ -382,7 +415,7 @@ def score(docs: DataFrame, in_range: int = 2_000_000, bits_each: float = BITS, d
             at = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["cell", "n"])
 
-        learnt = read.where(~F.col("held_out")).select("n_tokens", "counts", "pairs", "triples")
+        learnt = read.where(~F.col("held_out")).select("n_tokens", "words", "pairs", "triples")
         # at most (LEVELS + 1) * RATIOS rows
         sums = learnt.mapInArrow(observe, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
         weights[kind] = fitted(sums["cell"].to_numpy(np.int64), sums["n"].to_numpy(np.int64))

@@ -187,6 +187,13 @@ def test_levels():
     assert back[:4].tolist() == [1, 2, 3, 4.5] and (abs(back - counts) / counts < 0.25).all()
 
 
+def test_word_levels():
+    counts = np.arange(1, 5000)
+    back = lm_scoring.WORD_VALUES[np.searchsorted(lm_scoring.WORD_LEAST, counts, "right")]
+    assert back[:8].tolist() == list(range(1, 9)) and (abs(back - counts) / counts < 0.07).all()
+    assert lm_scoring.WORD_VALUES[0] == 0 and len(lm_scoring.WORD_VALUES) <= 256 and lm_scoring.WORD_LEAST[-1] > 1e9
+
+
 def test_no_training(spark, empty):
     assert lm_scoring.score(empty).count() == 0
     held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0)
@@ -218,6 +225,7 @@ def _model_scores(rows):
     values = lm_scoring.count_of()
     level = lru_cache(None)(lambda n: int(lm_scoring.level_of(np.array([float(n)]))[0]))
     value = lru_cache(None)(lambda n: float(values[level(n)]))
+    single = lru_cache(None)(lambda n: float(lm_scoring.WORD_VALUES[np.searchsorted(lm_scoring.WORD_LEAST, n, "right")]))
     grams, texts = {1: Counter(), 2: Counter(), 3: Counter()}, {d: [None, None, *toks(x)] for d, x in rows}
     for d, t in texts.items():
         if not held(d):
@@ -229,14 +237,14 @@ def _model_scores(rows):
     def history(h):
         if h[-1] is None:
             return float(n_texts)
-        return float(grams[1][h]) if len(h) == 1 else value(grams[2][h])
+        return single(grams[1][h]) if len(h) == 1 else value(grams[2][h])
 
     def share(g, less):
         h = history(g[:-1])
         return max(min(value(grams[len(g)][g]), h) - less, 0) / max(h - less, 1) if h > less else 0.0
 
     def mixed(t, i, less, weights):
-        p = (max(grams[1][t[i],] - less, 0) + 0.1) / divisor
+        p = (max(single(grams[1][t[i],]) - less, 0) + 0.1) / divisor
         for k in sorted(weights):
             g = tuple(t[i - k + 1 : i + 1])
             rate = weights[k].get(level(history(g[:-1])), 0)
