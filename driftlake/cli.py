@@ -6,7 +6,9 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from .plans.workflow import Workflow, embed_fasta, families_of
+from .operators import families
+from .plans.workflow import Workflow, compare_fasta, embed_fasta, families_of, smoke
+from .sources import releases, streams, upload
 
 
 def parser() -> argparse.ArgumentParser:
@@ -34,6 +36,12 @@ def parser() -> argparse.ArgumentParser:
     add("compare-embeddings", model, ("--hits", must), ("--n-genomes", whole(30)), ("--per-family", whole(5)), ("--max-families", whole(20)), ("--seed", whole(42)))
     add("score-novelty", model, ("--k", whole(5)), ("--threshold-quantile", {"type": float, "default": 0.9}), ("--below", {"choices": ["zero", "ecdf"], "default": "zero"}))
     add("evaluate-novelty", model, ("--hits", must), ("--k", whole(5)), ("--threshold-quantile", {"type": float, "default": 0.9}), ("--min-family-size", whole(20)), ("--precision-k", {"type": int, "nargs": "+", "default": [50, 100, 500, 1000]}), ("--calibration-bins", whole(10)))
+    add("extract-nucleotides", ("--archives", must), ("--suffix", {"default": "_protein.fna"}))
+    add("search-families", ("--library", must), ("--out", must), ("--cpus", whole(4)), ("--limit-genomes", {"type": int}))
+    add("compare-fasta", model, ("--fasta", must), ("--hits", must), ("--per-family", whole(4)), ("--max-families", whole(6)), rooted=False)
+    add("fetch-snapshot", ("--source", {"choices": ["taxonomy", "families"], "required": True}), ("--release", must), ("--folder", must), ("--metadata-only", {"action": "store_true"}), rooted=False)
+    add("upload-archive", ("--url", must), ("--bucket", must), ("--key", must), ("--profile", {}), ("--workers", whole(6)), rooted=False)
+    add("smoke-test", ("--models", {"nargs": "+", "default": ["kmers", "masked-kmers"]}), rooted=False)
     add("log-experiment", ("--title", must), ("--config", {"default": ""}), ("--result", {"default": ""}), ("--next", {"default": ""}))
     return top
 
@@ -44,6 +52,19 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     if a.command == "embed":
         embed_fasta(spark, a.fasta, a.model, a.batch_size).write.mode("overwrite").parquet(a.out)
         return
+    if a.command == "compare-fasta":
+        compare_fasta(spark, a.fasta, spark.read.parquet(a.hits), a.model, a.per_family, a.max_families).show()
+        return
+    if a.command == "fetch-snapshot":
+        for name, size in releases.snapshot(spark, a.source, a.release, a.folder, a.metadata_only).items():
+            print(name, size)
+        return
+    if a.command == "upload-archive":
+        print(upload.upload(upload.S3Store(a.bucket, a.profile), a.key, *streams.ranges(a.url), workers=a.workers), "parts sent")
+        return
+    if a.command == "smoke-test":
+        smoke(spark, a.models).show()
+        return
     w = Workflow(spark, a.root, a.release)
     read = spark.read.parquet
     if a.command == "preprocess-taxonomy":
@@ -53,6 +74,11 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.command == "extract-panel":
         _, missing = w.extract_panel(a.archives, a.suffix)
         missing.show()
+    elif a.command == "extract-nucleotides":
+        _, missing = w.extract_panel(a.archives, a.suffix, "panel_nucleotides")
+        missing.show()
+    elif a.command == "search-families":
+        w.search(families.profile_library(a.library, a.cpus), a.limit_genomes).write.mode("overwrite").parquet(a.out)
     elif a.command == "label-panel":
         then, now = read(a.hits_t0), read(a.hits_t1)
         w.label(then, now, families_of(then), families_of(now), a.limit_genomes)

@@ -50,3 +50,9 @@ def release_number(tag: Column) -> Column:
 def retry_wait(attempt: Column, most: int = 30) -> Column:
     """Seconds before the next try."""
     return F.least(attempt * 5, F.lit(most))
+
+
+def shown_bytes(n: Column) -> Column:
+    """Megabytes below a thousand of them, else gigabytes, with a digit or two."""
+    big = n >= 1e9
+    return F.when(big, F.concat(F.format_string("%.2f", n / 1e9), F.lit(" GB"))).otherwise(F.concat(F.format_string("%.1f", n / 1e6), F.lit(" MB")))

@@ -46,10 +46,10 @@ class HashedKmers:
         hashed = np.zeros(n, np.int64)
         for j in range(self.k):
             hashed = hashed * 31 + points[j : j + n]
-        hashed = hashed * 40503 % 65536
+        hashed = hashed * 40503 % 65536 // 256  # the upper bits are mixed best
         whole = row[:n] == row[self.k - 1 :][:n]  # windows inside one sequence
-        at = row[:n][whole] * self.dimension + hashed[whole] % self.dimension
-        sign = np.where(hashed[whole] // self.dimension % 2 == 1, 1.0, -1.0)
+        at = row[:n][whole] * self.dimension + hashed[whole] // 2 % self.dimension
+        sign = np.where(hashed[whole] % 2 == 1, 1.0, -1.0)
         out = np.bincount(at, sign, len(sequences) * self.dimension).reshape(len(sequences), self.dimension)
         return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-12)
 

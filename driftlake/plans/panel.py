@@ -214,6 +214,11 @@ def byte_range_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transfer.byte_ranges(files, 500).select("doc_id", "part_number", "start", "end")
 
 
+def byte_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5 over sizes from bytes to gigabytes."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", tx.shown_bytes(F.col("o_orderkey") * F.lit(200_000.0)).alias("shown"))
+
+
 def resume_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as its parts."""
     parts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("upload"), F.col("l_linenumber").cast("long").alias("part_number"), F.col("l_quantity").cast("long").alias("size"))
@@ -251,7 +256,7 @@ def embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     lineage_parse, taxonomy_summary, panel_allocation, representative_panel, new_families, snapshot_labels, label_summary, go_no_go, hit_lists, included_hits,
     embedding_sample, category_counts, diverse_genome_sample, family_sample, matched_controls, labeled_subset, heldout_family_pick, protein_table,
-    first_seen_window, masked_sequences, truncation_report, name_parsing, remaining_work, missing_preview, byte_range_plan, resume_offset, progress_rate,
+    first_seen_window, masked_sequences, truncation_report, name_parsing, remaining_work, missing_preview, byte_range_plan, byte_display, resume_offset, progress_rate,
     progress_reports, device_plan, embedded_documents,
 )}
 
@@ -339,13 +344,14 @@ kw AS (SELECT *, row_number() OVER (PARTITION BY phylum, length_bin ORDER BY md5
     "remaining_work": f"SELECT c_custkey AS genome FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '{DONE}')",
     "missing_preview": f"WITH m AS (SELECT lpad(c_custkey::VARCHAR, 9, '0') AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '{DONE}')) SELECT count(*) AS n_missing, coalesce((SELECT string_agg(k, ', ' ORDER BY k) FROM (SELECT k FROM m ORDER BY k LIMIT 10)), '') || CASE WHEN count(*) > 10 THEN '...' ELSE '' END AS preview FROM m",
     "byte_range_plan": "WITH f AS (SELECT doc_id, n_chars AS total, least(doc_id % 3 * 100, n_chars) AS done, doc_id % 3 + 1 AS np FROM documents), p AS (SELECT *, unnest(range(0, CAST(ceil((total - done) / 500.0) AS BIGINT))) AS k FROM f WHERE total > done) SELECT doc_id, np + k AS part_number, done + k * 500 AS start, least(done + (k + 1) * 500, total) - 1 AS \"end\" FROM p",
+    "byte_display": "SELECT o_orderkey, CASE WHEN o_orderkey * 200000.0::DOUBLE >= 1e9 THEN format('{:.2f} GB', o_orderkey * 200000.0::DOUBLE / 1e9) ELSE format('{:.1f} MB', o_orderkey * 200000.0::DOUBLE / 1e6) END AS shown FROM orders",
     "resume_offset": "SELECT l_orderkey AS upload, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS done, CAST(max(l_linenumber) + 1 AS BIGINT) AS next_part FROM lineitem GROUP BY l_orderkey",
     "embedded_documents": """WITH
 m AS (SELECT doc_id, string_split(regexp_replace(upper(replace(text, 'ß', 'SS')), 'N{3,}', '@', 'g'), '') AS l FROM documents),
 c AS (SELECT doc_id, unnest(l) AS c, generate_subscripts(l, 1) AS i FROM m),
 w AS (SELECT doc_id, unicode(c) AS a, lead(unicode(c)) OVER o AS b, lead(unicode(c), 2) OVER o AS d FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-h AS (SELECT doc_id, (a::BIGINT * 961 + b * 31 + d) * 40503 % 65536 AS h FROM w WHERE d IS NOT NULL),
-s AS (SELECT doc_id, h % 64 AS k, sum(CASE WHEN h // 64 % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS x FROM h GROUP BY doc_id, k),
+h AS (SELECT doc_id, (a::BIGINT * 961 + b * 31 + d) * 40503 % 65536 // 256 AS h FROM w WHERE d IS NOT NULL),
+s AS (SELECT doc_id, h // 2 % 64 AS k, sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS x FROM h GROUP BY doc_id, k),
 n AS (SELECT doc_id, greatest(sqrt(sum(x * x)), 1e-12) AS n FROM s GROUP BY doc_id),
 u AS (SELECT doc_id, k, (x / n)::FLOAT::DOUBLE AS x FROM s JOIN n USING (doc_id))
 SELECT doc_id, count(x) FILTER (x <> 0) AS filled, round(coalesce(sum(x * (k + 1)), 0), 4) + 0.0 AS weighted, round(coalesce(sum(abs(x)), 0), 4) + 0.0 AS absolute

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import Scorer
 from ..functions.text import strip_version
 from ..functions.vectors import as_doubles
-from ..operators import embedders, evaluation, evt, knn, labeling, sampling, separation
+from ..operators import embedders, evaluation, evt, families, knn, labeling, sampling, separation
 from ..sources import archive, fasta, sinks
 from ..sources import tables as src
 
@@ -93,6 +93,13 @@ class Workflow:
         self.log("snapshot differencing", result=str(labeling.summary(out).first().asDict()), next_step=labeling.go_no_go(out).first()["decision"])
         return out
 
+    def search(self, make, limit_genomes: int | None = None) -> DataFrame:
+        """Hits of the panel's sequences by a scanner of `operators.families`: genome, protein_id, family, score."""
+        rows = self.read("panel_sequences")
+        if limit_genomes:
+            rows = rows.join(rows.select("genome").distinct().orderBy("genome").limit(limit_genomes), "genome", "left_semi")
+        return families.search(rows, make)
+
     def build_embedding_sample(self, dark_negative_cap: int = 30000, characterised_cap: int = 30000, seed: int = 42) -> DataFrame:
         groups = self.read("genome_panel").select(F.col("accession").alias("genome"), F.col("phylum").alias("stratum"))
         return self.write("embedding_sample", sampling.embedding_sample(self.read("panel_labels"), groups, dark_negative_cap, characterised_cap, seed))
@@ -160,6 +167,30 @@ def families_of(hits: DataFrame) -> DataFrame:
     return hits.select(strip_version(F.col("family")).alias("family")).distinct()
 
 
+def compare_fasta(spark: SparkSession, path: str, hits: DataFrame, model: str, per_family: int = 4, max_families: int = 6) -> DataFrame:
+    """Separation of families among the sequences of one FASTA file; hits: protein_id, family."""
+    rows = fasta.last_of_each_id(fasta.read_fasta(spark, path)).select(F.col("record_id").alias("protein_id"), "seq")
+    subset = separation.labeled_subset(hits.join(rows.select("protein_id"), "protein_id", "left_semi"), 3, per_family, max_families)
+    labelled = rows.join(subset.select(F.col("member").alias("protein_id"), "family"), "protein_id")
+    vectors = embedders.embed(labelled, model, "seq").select(F.col("family").alias("label"), as_doubles(F.col("embedding")).alias("v"))
+    return separation.separation(vectors).withColumn("model", F.lit(model))
+
+
+# Short made-up sequences.
+TOY = {"nucleotides": ("ACGTACGTACGT", "ACGTTGCANNNNACGT", "GGGGCCCCTTAA"), "proteins": ("MKTAYIAKQRQISFVK", "MSHHWGYGKHNGPEHW", "MAAAKKKLLLGGG")}
+
+
+def smoke(spark: SparkSession, models: list[str]) -> DataFrame:
+    """model, kind, n, dimension, finite: each backend over short sequences of both kinds."""
+    out = None
+    for model in models:
+        for kind, sequences in TOY.items():
+            got = embedders.embed(spark.createDataFrame([(s,) for s in sequences], "s string"), model, "s")
+            row = got.agg(F.lit(model).alias("model"), F.lit(kind).alias("kind"), F.count("embedding").alias("n"), F.max(F.size("embedding")).alias("dimension"), F.min(F.forall("embedding", lambda x: ~F.isnan(x))).alias("finite"))
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
 def embed_fasta(spark: SparkSession, path: str, model: str, batch_size: int = 64) -> DataFrame:
     """record_id, embedding of a FASTA file; of ids that repeat, the last."""
     return embedders.embed(fasta.last_of_each_id(fasta.read_fasta(spark, path)).select("record_id", "seq"), model, "seq", batch_size).drop("seq")

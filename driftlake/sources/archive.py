@@ -1,8 +1,7 @@
-"""Members of gzip-compressed tar archives as rows."""
+"""Members of gzip-compressed tar archives as rows, read forward and one at a time."""
 
 from __future__ import annotations
 
-import io
 import tarfile
 from collections.abc import Iterator
 
@@ -12,26 +11,63 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import member_key
+from .streams import open_stream
 
 MEMBERS = "archive string, name string, content binary"
+#: A list of wanted keys up to this size goes to the tasks, so that they can stop early.
+LISTED = 1_000_000
+
+
+def members(path: str, suffix: str, wanted: frozenset[str] | None = None) -> Iterator[tuple[str, str, bytes]]:
+    """(archive, name, content) of the members whose name ends in `suffix`; with `wanted` (names without folder and suffix) these alone, and reading stops when all have come."""
+    left = set(wanted or ())
+    with open_stream(path) as raw, tarfile.open(fileobj=raw, mode="r|gz") as tar:
+        for member in tar:
+            key = member.name.rsplit("/", 1)[-1].removesuffix(suffix)
+            if not member.isfile() or not member.name.endswith(suffix) or (wanted is not None and key not in left):
+                continue
+            yield path, member.name, tar.extractfile(member).read()
+            left.discard(key)
+            if wanted is not None and not left:
+                return
+
+
+def files(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, in any store of Spark; comma-separated ones and URLs as they are."""
+    out = []
+    for one in pattern.split(","):
+        if one.startswith(("http://", "https://")):
+            out.append(one)
+            continue
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(one)
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = store.globStatus(path) or []
+        for status in found:
+            inside = store.listStatus(status.getPath()) if status.isDirectory() else [status]
+            out += [s.getPath().toString() for s in inside if s.isFile()]
+    return sorted(out)
 
 
 def read_archives(spark: SparkSession, path: str, suffix: str, wanted: DataFrame | None = None) -> DataFrame:
     """archive, name, key, content of the members whose name ends in `suffix`; with `wanted` (key), of these only.
 
-    One task an archive, by Spark's binary reader (archives up to its 2 GB);
-    larger ones are streamed by the `tar_members` source.
+    A task for each archive, of any size: it is streamed, a member at a time, and
+    a task stops as soon as it has all that is wanted.
     """
+    paths = files(spark, path)
+    keys = None
+    if wanted is not None:
+        few = [r[0] for r in wanted.select("key").distinct().limit(LISTED + 1).collect()]
+        keys = frozenset(few) if len(few) <= LISTED else None  # more are joined below
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for where, data in zip(batch["path"], batch["content"], strict=True):
-                with tarfile.open(fileobj=io.BytesIO(data), mode="r|gz") as tar:
-                    for member in tar:
-                        if member.isfile() and member.name.endswith(suffix):
-                            yield pd.DataFrame({"archive": [where], "name": [member.name], "content": [tar.extractfile(member).read()]})
+            for where in batch["path"]:
+                for row in members(where, suffix, keys):
+                    yield pd.DataFrame([row], columns=["archive", "name", "content"])
 
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(expand, MEMBERS)
+    listed = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "at int, path string")
+    rows = listed.repartitionById(max(1, len(paths)), "at").select("path").mapInPandas(expand, MEMBERS)
     keyed = rows.withColumn("key", member_key(F.col("name"), suffix)).where(F.col("key").isNotNull())
     return keyed.join(wanted.select("key").distinct(), "key", "left_semi") if wanted is not None else keyed
 
@@ -39,8 +75,8 @@ def read_archives(spark: SparkSession, path: str, suffix: str, wanted: DataFrame
 class TarMembers(DataSource):
     """spark.read.format("tar_members").option("paths", "a.tar.gz,b.tar.gz").option("suffix", ...).load()
 
-    Streams each archive forward in one task, a member at a time. `wanted`
-    (comma-separated keys, a short list) lets a task stop when it has all.
+    A task for each archive; `wanted` (comma-separated keys, a short list) lets
+    it stop when it has all.
     """
 
     @classmethod
@@ -63,21 +99,10 @@ class _Reader(DataSourceReader):
     def __init__(self, options):
         self.paths = [p for p in options.get("paths", "").split(",") if p]
         self.suffix = options.get("suffix", "")
-        self.wanted = {w for w in options.get("wanted", "").split(",") if w}
+        self.wanted = frozenset(w for w in options.get("wanted", "").split(",") if w) or None
 
     def partitions(self):
         return [_Archive(p) for p in self.paths]
 
     def read(self, partition):
-        left = set(self.wanted)
-        with open(partition.path, "rb") as f, tarfile.open(fileobj=f, mode="r|gz") as tar:
-            for member in tar:
-                if not member.isfile() or not member.name.endswith(self.suffix):
-                    continue
-                key = member.name.rsplit("/", 1)[-1].removesuffix(self.suffix)
-                if self.wanted and key not in left:
-                    continue
-                yield (partition.path, member.name, tar.extractfile(member).read())
-                left.discard(key)
-                if self.wanted and not left:
-                    return
+        yield from members(partition.path, self.suffix, self.wanted)

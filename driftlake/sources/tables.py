@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import io
 import tarfile
 from collections.abc import Iterator
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import RANKS, rank_of
+from .streams import open_stream, ranges
 
 
 def parse_lineages(rows: DataFrame, lineage: str = "lineage") -> DataFrame:
@@ -30,6 +32,20 @@ def read_taxonomy(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return parse_lineages(out)
 
 
+class _Lines:
+    """A member of a streamed archive as text, for a reader that only goes forward."""
+
+    def __init__(self, member):
+        self.member, self.decode = member, codecs.getincrementaldecoder("utf-8")().decode
+
+    def read(self, size: int = -1) -> str:
+        data = self.member.read(size)
+        return self.decode(data, not data)
+
+    def __iter__(self):
+        return iter(lambda: self.read(1 << 16), "")
+
+
 def read_metadata(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Columns of a tab-separated file with a header, gzip or the first .tsv member of a .tar.gz; all strings, nothing inferred."""
     if not path.endswith(".tar.gz"):
@@ -37,13 +53,14 @@ def read_metadata(spark: SparkSession, path: str, columns: list[str]) -> DataFra
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for data in batch["content"]:
-                with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz") as tar:
+            for where in batch["path"]:
+                with open_stream(where) as raw, tarfile.open(fileobj=raw, mode="r|gz") as tar:
                     member = next(m for m in tar if m.name.endswith(".tsv"))
-                    for part in pd.read_csv(tar.extractfile(member), sep="\t", usecols=columns, dtype=str, keep_default_na=False, chunksize=100_000):
+                    lines = _Lines(tar.extractfile(member))
+                    for part in pd.read_csv(lines, sep="\t", usecols=columns, dtype=str, keep_default_na=False, chunksize=100_000):
                         yield part[columns]
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(expand, ", ".join(f"`{c}` string" for c in columns))
+    return spark.createDataFrame([(path,)], "path string").mapInPandas(expand, ", ".join(f"`{c}` string" for c in columns))
 
 
 def representatives(metadata: DataFrame) -> DataFrame:
@@ -66,20 +83,30 @@ def first_existing(spark: SparkSession, stem: str, endings: tuple[str, ...] = ("
     raise FileNotFoundError(f"no file for {stem} (tried {', '.join(endings)})")
 
 
-def read_matrix(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+def read_matrix(spark: SparkSession, path: str, ids: DataFrame, block: int = 50_000) -> DataFrame:
     """position, embedding of a two-dimensional .npy file, with the columns of ids (position, ...) joined by position; counts must agree."""
     import numpy as np
 
+    fetch, total = ranges(path)
+    head = io.BytesIO(fetch(0, min(total, 1 << 16) - 1))
+    version = np.lib.format.read_magic(head)
+    shape, by_column, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(head)
+    if len(shape) != 2 or by_column:
+        raise ValueError(f"{path}: not a matrix by rows")
+    first, (n, width) = head.tell(), shape
+    size = width * dtype.itemsize
+
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read, _ = ranges(path)
         for batch in batches:
-            for data in batch["content"]:
-                m = np.load(io.BytesIO(data))
-                for at in range(0, len(m), 10_000):
-                    part = m[at : at + 10_000].astype(np.float64)
-                    yield pd.DataFrame({"position": np.arange(at, at + len(part)), "embedding": list(part)})
-
-    matrix = spark.read.format("binaryFile").load(path).select("content").mapInPandas(expand, "position long, embedding array<double>")
-    n, m = matrix.count(), ids.count()
+            for at in batch["id"]:
+                rows = min(block, n - at)
+                part = np.frombuffer(read(first + at * size, first + (at + rows) * size - 1), dtype).reshape(rows, width).astype(np.float64)
+                yield pd.DataFrame({"position": np.arange(at, at + rows), "embedding": list(part)})
+
+    # each task reads its own rows
+    matrix = spark.range(0, max(n, 1), block, max(1, -(-n // block))).where(F.col("id") < n).mapInPandas(expand, "position long, embedding array<double>")
+    m = ids.count()
     if n != m:
         raise ValueError(f"{n} vectors, but {m} ids")
     return ids.join(matrix, "position")

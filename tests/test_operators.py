@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from driftlake.functions import text as tx
 from driftlake.functions.vectors import gpd_survival, l2_normalize, masked_mean
-from driftlake.operators import device, embedders, evaluation, evt, knn, labeling, sampling, separation, transfer
+from driftlake.operators import device, embedders, evaluation, evt, families, knn, labeling, sampling, separation, transfer
 
 
 def vectors(spark, m, first=0):
@@ -69,8 +69,13 @@ def test_tail_fit(spark):
     table = spark.createDataFrame([(i, float(x)) for i, x in enumerate(d)], "id long, distance double")
     fit = evt.fit_mle(table)
     assert fit["n_exceedances"] == 1000 and fit["shape"] == pytest.approx(shape, abs=0.12) and fit["scale"] == pytest.approx(scale, rel=0.15)
-    local = evaluation.evt_fit_local(d, 0.9)
-    assert local["shape"] == pytest.approx(fit["shape"], abs=1e-6) and local["scale"] == pytest.approx(fit["scale"], abs=1e-6)
+    # the same in one step for several groups, one of them with too few
+    both = table.select(F.lit(1).alias("g"), "distance").unionByName(table.select(F.lit(2).alias("g"), (F.col("distance") * 3 + 1).alias("distance"))).unionByName(table.limit(20).select(F.lit(3).alias("g"), "distance"))
+    groups = {r["g"]: r for r in evt.fit_groups(both, "g", 0.9).collect()}
+    assert set(groups) == {1, 2}
+    for n in ("u", "shape", "scale", "zeta_u"):
+        assert groups[1][n] == pytest.approx(fit[n], abs=1e-6)
+    assert groups[2]["shape"] == pytest.approx(fit["shape"], abs=1e-4) and groups[2]["scale"] == pytest.approx(3 * fit["scale"], rel=1e-3)
     assert evt.fit_pwm(table)["shape"] == pytest.approx(shape, abs=0.15)
     with pytest.raises(ValueError, match="too few"):
         evt.fit_mle(table.where("id < 50"))
@@ -190,6 +195,92 @@ def test_embedders(spark):
     assert len(got[0]) == 64 and got[1] is None and got[2] == [0.0] * 64
     with pytest.raises(ValueError, match="unknown"):
         embedders.embed(rows, "none", "s")
+    m = embedders.HashedKmers(16, 2)
+    for s, v in zip(["abca", "é日", "a", ""], m.vectors(["abca", "é日", "a", ""]), strict=True):
+        want = np.zeros(16)
+        for x, y in zip(s, s[1:]):
+            h = (ord(x) * 31 + ord(y)) * 40503 % 65536 // 256
+            want[h // 2 % 16] += 1 if h % 2 else -1
+        assert np.allclose(v, want / max(np.linalg.norm(want), 1e-12))
+
+
+def test_tokens_are_cut(spark):
+    model = embedders.WeightedModel(lambda: lambda xs: np.array([[len(x), 1.0] for x in xs]), 2, 10)
+    assert embedders.cut(model, "a" * 20, None) == "a" * 8 and embedders.cut(model, "abc", None) == "abc" and embedders.cut(model, "a" * 20, 5) == "aaa"
+    assert embedders.cut(embedders.HashedKmers(), "a" * 20, None) == "a" * 20
+    embedders.register("counted", lambda: model)
+    got = embedders.embed(spark.createDataFrame([("x" * 30,), ("xy",)], "s string"), "counted", "s").collect()
+    assert [r["embedding"] for r in got] == [[8.0, 1.0], [2.0, 1.0]]
+    assert embedders.load_embedder("esm2").dimension == 1280 and embedders.load_embedder("genos-m").max_tokens == 8192
+
+
+def test_family_search(spark):
+    rows = spark.createDataFrame([("g", "a", "MKKKKLL"), ("g", "b", "WWHHWW"), ("h", "a", None), ("h", "b", "")], "genome string, protein_id string, seq string")
+    got = families.search(rows, lambda: families.Motifs({"PF1": "K+", "PF2": "WW", "PF3": "L"}, {"PF3": 3})).collect()
+    assert sorted(map(tuple, got)) == [("g", "a", "PF1", 4.0), ("g", "b", "PF2", 4.0)]
+
+
+def test_messy_vectors(spark):
+    """Rows that can't be compared take no part; the others are compared as if alone."""
+    bad = [(10, None), (11, []), (12, [None, 1.0]), (13, [float("nan"), 1.0]), (14, [float("inf"), 1.0]), (None, [1.0, 1.0])]
+    good = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, [1.0, 1.0]), (5, [0.0, 0.0]), (6, [1.0, 0.0, 0.0])]
+    table = lambda rows: knn.unit_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = sorted(map(tuple, knn.nearest(table(good + bad), table(good + bad), 2, exclude_self=True).select("query_id", "ref_id", "rank").collect()))
+    want = sorted(map(tuple, knn.nearest(table(good), table(good), 2, exclude_self=True).select("query_id", "ref_id", "rank").collect()))
+    assert got == want and {r[0] for r in got} == {1, 2, 3, 4, 5}  # 6 has no other of its length
+    assert knn.nearest(table(good), table(bad), 2).count() == 0 and knn.nearest(table(bad), table(good), 2).count() == 0
+    assert separation.separation_by_pairs(spark.createDataFrame([(i, v, 1) for i, v in good[:4]] + [(9, None, 1)], "vec_id long, v array<double>, label long"), "vec_id", block=2).first()["within_family_mean_cosine"] == pytest.approx((4 * (2**-0.5) + 1) / 6)
+
+
+def test_neighbours_apart(spark, matrix):
+    rows = knn.unit_vectors(vectors(spark, matrix).withColumn("f", F.col("vec_id") % 3), "vec_id", "embedding", "f")
+    got = knn.nearest(rows, rows, 3, exclude_self=True, query_block=7, ref_block=9, apart="f").collect()
+    u = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    first = min(r["id"] for r in rows.collect())
+    for q in {r["query_id"] for r in got}:
+        own = sorted((1 - u[q - first] @ u[j], j + first) for j in range(len(u)) if (j + first) % 3 != q % 3)[:3]
+        assert [r["ref_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [j for _, j in own]
+
+
+def test_running_sums(spark):
+    from driftlake.functions.ordering import running_sums
+
+    rng = np.random.default_rng(6)
+    data = [(int(i), int(g), float(v), int(a)) for i, (g, v, a) in enumerate(zip(rng.integers(0, 3, 400), rng.integers(0, 50, 400), rng.integers(0, 9, 400)))] + [(1000, 0, None, 5)]
+    rows = spark.createDataFrame(data, "i long, g long, v double, a long")
+    for groups in ((), ("g",)):
+        got = {r["i"]: (r["s"], r["n"]) for r in running_sums(rows, "v", {"s": F.col("a"), "n": F.lit(1)}, groups, ("i",)).collect()}
+        key = lambda d: (d[2] is not None, d[2] or 0, d[0])
+        for d in data:
+            before = [x for x in data if key(x) < key(d) and (not groups or x[1] == d[1])]
+            assert got[d[0]] == (sum(x[3] for x in before), len(before))
+
+
+def test_allocation_is_the_first_halving():
+    """The fraction is the one at which halving the interval comes into the window first."""
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        counts = {str(k): int(n) for k, n in enumerate(rng.integers(1, 4000, rng.integers(1, 25)))}
+        target = int(rng.integers(1, 500))
+        total = lambda f: sum(min(n, max(2, min(30, round(f * n)))) for n in counts.values())  # noqa: B023, E731
+        low, high = 0.0, 1.0
+        for _ in range(50):
+            f = (low + high) / 2
+            if abs(total(f) - target) <= 5:
+                break
+            low, high = (f, high) if total(f) < target else (low, f)
+        else:
+            continue
+        sizes, got = sampling.allocate(counts, target)
+        assert got == f and sizes == {k: min(n, max(2, min(30, round(f * n)))) for k, n in counts.items()}
+
+
+def test_device_surface():
+    here = device.plan_here()
+    assert here.device in ("cuda", "mps", "cpu") and here.quantized == (here.quantize_bits is not None)
+    assert device.loader_arguments(device.plan("cuda", 8.0, 16.0))["quantize_bits"] == 4 and device.loader_arguments(device.plan("cpu", None, 1.0)) == {"dtype": "float32"}
+    assert device.inference_device(device.plan("cuda", 80.0, 16.0)) == "cuda:0" and device.inference_device(device.plan("mps", None, 1.0)) == "mps"
+    assert device.peak_memory_gb() >= 0
 
 
 def test_nearest_plan_makes_no_pairs(spark, matrix):
