@@ -111,7 +111,8 @@ def marked(docs: DataFrame, least_docs: int, shortest: int, batch_bytes: int, do
         # a document is told by its id and text; a key counts once in each
         once = lines.where(F.col("batch") == b).groupBy("doc", "th", *HASH).agg(F.lit(1))
         runs.admit(once.groupBy(*HASH).agg(F.count("*").alias("n")))
-    hit = lines.join(runs.full(), list(HASH), "left_semi")
+    # not a run: Spark may broadcast it, or split a line that very many documents have
+    hit = lines.join(scratch.write(runs.full()), list(HASH), "left_semi")
     return hit.groupBy("doc", "th").agg(F.array_sort(F.collect_set("i")).alias("bad"))
 
 
