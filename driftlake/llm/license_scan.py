@@ -97,7 +97,7 @@ class Matcher:
             norm = math.sqrt(sum((c * self.idf[w]) ** 2 for w, c in tf.items()))
             for w, c in tf.items():
                 self.weights[w].append((k, c * self.idf[w] / norm))
-        # a cosine of `least` needs more than the lightest words of every template: one of these must be there
+        # a cosine of `least` needs one of these words: all others of a template weigh too little
         self.anchors = self._anchors()
 
     def _anchors(self) -> frozenset[str]:
@@ -108,13 +108,13 @@ class Matcher:
                 own[k].append((x, w))
         out: set[str] = set()
         for pairs in own.values():
-            rest, light = 0.0, set()
-            for x, w in sorted(pairs):
-                if math.sqrt(rest + x * x) >= self.least - 1e-9:  # by Cauchy and Schwarz
+            # long words first: short ones occur in many others
+            rest = 1.0
+            for x, w in sorted(pairs, key=lambda p: (-min(len(p[1]), 6), -p[0], p[1])):
+                if rest < (self.least - 1e-6) ** 2:  # by Cauchy and Schwarz
                     break
-                rest += x * x
-                light.add(w)
-            out |= {w for _, w in pairs} - light
+                rest -= x * x
+                out.add(w)
         return frozenset(out)
 
     def cosine(self, tf: Counter) -> tuple[float, str | None]:
@@ -136,7 +136,7 @@ def candidates(text: str, anchored) -> Iterator[str]:
     """Lines, their sentences, paragraphs and theirs, of lines and paragraphs that have an anchor."""
     held: list[str] = []
     for line in [*text.split("\n"), ""]:
-        if TERM.search(line.lower()):
+        if line and TERM.search(line.lower()):
             held.append(line)
             continue
         if held and anchored(whole := " ".join(held)):
@@ -153,15 +153,23 @@ class Scanner:
     """Matchers of headers and of whole license files."""
 
     def __init__(self, headers: Matcher, texts: Matcher):
-        self.headers, self.texts = headers, texts
-        # a word is there if it is there as a part of the text
-        self.told = re.compile("|".join(map(re.escape, sorted(headers.anchors, key=len))))
+        self.headers, self.texts, self.words = headers, texts, None
+
+    def anchored(self, text: str) -> bool:
+        """Does an anchor occur, as a word or in one?"""
+        if self.words is None:
+            import ahocorasick
+
+            self.words = ahocorasick.Automaton()
+            for w in self.headers.anchors:
+                self.words.add_word(w, w)
+            self.words.make_automaton()
+        return next(self.words.iter(text.lower()), None) is not None
 
     def __call__(self, text: str, is_file: bool) -> tuple[str | None, float | None, str | None]:
         best: tuple[float, str | None, str | None] = (0.0, None, None)
-        anchored = lambda x: self.told.search(x.lower()) is not None
-        if anchored(text):
-            for part in candidates(text, anchored):
+        if self.anchored(text):
+            for part in candidates(text, self.anchored):
                 score, name = self.headers.cosine(Counter(terms(part)))
                 if name and score > best[0] + 1e-12:
                     best = (score, name, part.strip())
