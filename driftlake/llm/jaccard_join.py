@@ -10,12 +10,14 @@
    Sets whose first shingles occur nowhere else are done. The others, with their
    first shared shingles, fall into candidate groups (components by shared shingle).
 4. Within a group an inverted index is probed set by set, by rising size. Blocks
-   of a list are skipped whole where positions leave too small an overlap; a set
-   that proves similar to another takes over that set's computed answers (its
-   component), so only sets outside them are compared further.
-
-Groups beyond `most_in_task` shingles are dealt into blocks, each pair of which
-is one task; its links are joined as components again.
+   of a list are skipped whole where positions leave too small an overlap. Some
+   sets that answered keep the overlaps with all their candidates; a set similar
+   to one of them derives its own from these, within what the two don't share,
+   and compares only what that leaves open. All links are counted.
+
+A group beyond `most_in_task` shingles falls into slices of neighbouring set
+sizes, and a slice beyond it into blocks, each pair of which is one task; a link
+is settled in one of them, and their components are joined again.
 """
 
 from __future__ import annotations
@@ -210,14 +212,30 @@ def _first_shingles(percent: int, ranges: int):
     return run
 
 
-def link(sets: list[np.ndarray], percent: int = 80, block: int = 64) -> np.ndarray:
-    """The component of each set, as the number of one of its sets. Every set has different, sorted hashes and is not empty."""
+def _bounds(both: np.ndarray, size: int, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes and overlaps are linked."""
+    return 100 * both >= percent * (size + sizes - both)
+
+
+def link(sets: list[np.ndarray], percent: int = 80, block: int = 64, home=None, times: np.ndarray | None = None, kept: int = 64, seen: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(component of each set, as the number of one of its sets; number of its links). Every set has different, sorted hashes and is not empty.
+
+    home(x, others): which pairs are this call's to settle; all, if not given.
+    times: how often a link to each set counts. Of the `kept` sets that answered
+    last, the overlaps with all their candidates are known. A set that is similar
+    to one of them takes these for its own, less what the two have not in common,
+    and only pairs that this leaves open are compared. `seen` gets how many pairs
+    were compared.
+    """
     label = np.arange(len(sets))
+    links = np.zeros(len(sets), np.int64)
+    times = np.ones(len(sets), np.int64) if times is None else times
+    compared = 0
     if len(sets) < 2:
-        return label
+        return label, links
     sizes = np.array([len(s) for s in sets])
     tokens, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(tokens), np.int64)
+    rank = np.empty(len(tokens), np.int32)
     rank[np.argsort(df, kind="stable")] = np.arange(len(tokens))
     ordered, at = rank[inverse], 0
     rows = []
@@ -227,10 +245,11 @@ def link(sets: list[np.ndarray], percent: int = 80, block: int = 64) -> np.ndarr
         at += n
     by_rank = np.sort(df)
     offset = np.cumsum(by_rank) - by_rank
-    who, rest, filled = np.zeros(int(by_rank.sum()), np.int64), np.zeros(int(by_rank.sum()), np.int64), np.zeros(len(tokens), np.int64)
+    who, rest, filled = np.zeros(int(by_rank.sum()), np.int32), np.zeros(int(by_rank.sum()), np.int32), np.zeros(len(tokens), np.int64)
     blocks: dict[int, list[tuple[int, int]]] = {}  # of a list: largest rest, smallest size
     members = {k: [k] for k in range(len(sets))}
     mark = np.zeros(len(tokens), bool)
+    answers: dict[int, tuple[list[int], list[int]]] = {}  # of the sets kept: others, and overlaps with them
     for x in np.argsort(sizes, kind="stable").tolist():
         row, n = rows[x], len(rows[x])
         first = row[: n - (percent * n + 99) // 100 + 1]
@@ -250,27 +269,56 @@ def link(sets: list[np.ndarray], percent: int = 80, block: int = 64) -> np.ndarr
                 tail = slice(lo + done, lo + size)
                 found.append(who[tail][1 + np.minimum(left, rest[tail]) >= least])
         if found:
-            near = np.concatenate(found)
-            near = near[(label[near] != label[x]) & (100 * sizes[near] >= percent * n)]
+            near, often = np.unique(np.concatenate(found), return_counts=True)
+            keep = 100 * sizes[near] >= percent * n
+            if home:
+                keep &= home(x, near)
+            near, often = near[keep].astype(np.int64), often[keep]
             if len(near):
-                near, often = np.unique(near, return_counts=True)
-                near = near[np.argsort(-often, kind="stable")]  # likeliest first
                 mark[row] = True
-                while len(near):
-                    y = int(near[0])
+                near = near[np.argsort(-often, kind="stable")]  # likeliest first
+                overlap = np.full(len(near), -1, np.int64)  # known exactly
+                linked = np.zeros(len(near), bool)
+                open_ = np.ones(len(near), bool)
+                leader = next((i for i, y in enumerate(near[: 4 * kept].tolist()) if y in answers), None)
+                if leader is not None:
+                    y = int(near[leader])
                     both = int(mark[rows[y]].sum())
-                    if 100 * both >= percent * (n + int(sizes[y]) - both):
-                        # all that y has been found similar to, over any way, is answered too
-                        a, b = int(label[x]), int(label[y])
-                        if len(members[a]) > len(members[b]):
-                            a, b = b, a
-                        label[members[a]] = b
-                        members[b] += members.pop(a)
-                        near = near[1:]
-                        near = near[label[near] != label[x]]
-                    else:
-                        near = near[1:]
+                    compared += 1
+                    overlap[leader], open_[leader] = both, False
+                    linked[leader] = _bounds(np.array(both), n, sizes[y], percent)
+                    names, known = (np.array(v, np.int64) for v in answers[y])
+                    answers[y][0].append(x)
+                    answers[y][1].append(both)
+                    if len(names) and linked[leader]:
+                        order = np.argsort(names)
+                        at = np.minimum(np.searchsorted(names[order], near), len(names) - 1)
+                        there = (names[order][at] == near) & open_
+                        others = known[order][at]
+                        # at least what y shares less what x lacks of y, at most that and what y lacks of x
+                        yes = there & _bounds(others - (int(sizes[y]) - both), n, sizes[near], percent)
+                        no = there & ~_bounds(np.minimum(others + (n - both), n), n, sizes[near], percent)
+                        linked |= yes
+                        open_ &= ~(yes | no)
+                for i in np.flatnonzero(open_).tolist():
+                    overlap[i] = mark[rows[near[i]]].sum()
+                    compared += 1
+                linked[open_] = _bounds(overlap[open_], n, sizes[near[open_]], percent)
                 mark[row] = False
+                if leader is None or not linked[leader]:
+                    exact = overlap >= 0
+                    answers[x] = (near[exact].tolist(), overlap[exact].tolist())
+                    if len(answers) > kept:
+                        answers.pop(next(iter(answers)))
+                hit = near[linked]
+                links[x] += times[hit].sum()
+                links[hit] += times[x]
+                for a in set(label[hit].tolist()) - {int(label[x])}:
+                    b = int(label[x])
+                    if len(members[a]) > len(members[b]):
+                        a, b = b, a
+                    label[members[a]] = b
+                    members[b] += members.pop(a)
         for i in range(begin, len(first)):
             t = int(first[i])
             k = int(offset[t] + filled[t])
@@ -279,7 +327,9 @@ def link(sets: list[np.ndarray], percent: int = 80, block: int = 64) -> np.ndarr
             if filled[t] % block == 0:
                 own = slice(k + 1 - block, k + 1)
                 blocks.setdefault(t, []).append((int(rest[own].max()), int(sizes[who[own]].min())))
-    return label
+    if seen is not None:
+        seen["compared"] = compared
+    return label, links
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int, doc_id: str, text: str, most_bits: int = 1 << 31) -> DataFrame:
@@ -322,8 +372,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int, doc_id: str, text:
     return wanted.join(made, same)
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, most_in_task: int = 3_000_000, in_range: int = 4_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row.
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, most_in_task: int = 1_000_000, in_range: int = 4_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (rows that it is linked to) of every row.
 
     A component is what links reach; a link is 100 * intersection >= percent *
     union of two shingle sets. component_id is its smallest doc_id. A null,
@@ -348,40 +398,59 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, most_
     edges = first.join(by_key, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     groups = scratch.write(components(edges, scratch))
 
-    nodes = first.groupBy("node", "n", "h1", "h2").agg(F.lit(1)).select("node", "n", "h1", "h2").join(groups, "node")
-    weights = groups.join(nodes.select("node", "n"), "node").groupBy("root").agg(F.sum("n").alias("weight"))
-    total = weights.agg(F.sum(F.when(F.col("weight") <= most_in_task, F.col("weight")))).first()[0] or 0
+    # classes of equal sets with their number of rows
+    classes = scratch.write(rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("node").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("times")))
+    nodes = first.groupBy("node", "n", "h1", "h2").agg(F.lit(1)).select("node", "n", "h1", "h2").join(groups, "node").join(classes.select("node", "times"), "node")
+    weight = F.sum("n").alias("weight")
+    # a group beyond the bound falls into slices of two neighbouring size bands each: links don't reach farther
+    heavy = nodes.groupBy("root").agg(weight)
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 2 + 1e-9).cast("int")
+    sliced = nodes.join(heavy, "root").withColumn("band", band)
+    slices = F.when(F.col("weight") <= most_in_task, F.array(F.lit(-1))).otherwise(F.array(F.col("band") - 1, F.col("band")))
+    sliced = scratch.write(sliced.withColumn("slice", F.explode(slices)).drop("weight"))
+    # and a slice beyond it into blocks, each pair of which is a task
+    weights = sliced.groupBy("root", "slice").agg(weight)
+    total = weights.where(F.col("slice") < 0).agg(F.sum("weight")).first()[0] or 0
     tasks = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 4 / most_in_task) + 1)
     blocks = F.when(F.col("weight") <= most_in_task, 1).otherwise(F.ceil(2 * F.col("weight") / most_in_task)).cast("int")
-    dealt = nodes.join(weights.withColumn("blocks", blocks), "root")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = sliced.join(weights.select("root", "slice", blocks.alias("blocks")), ["root", "slice"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    own = F.col("block")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    # small groups share tasks; a large one has a task for each pair of blocks
-    task = F.when(F.col("blocks") == 1, F.struct(F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))).otherwise(F.struct(F.col("root").alias("g"), F.col("p.i").alias("i"), F.col("p.j").alias("j")))
-    dealt = dealt.withColumn("p", F.explode(pairs)).withColumn("task", task)
+    # small groups share tasks
+    whole = F.struct(F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("g"), F.lit(-1).alias("slice"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
+    part = F.struct(F.xxhash64("root", "slice").alias("g"), F.col("slice"), F.col("p.i").alias("i"), F.col("p.j").alias("j"))
+    dealt = dealt.withColumn("p", F.explode(pairs)).withColumn("task", F.struct(F.when(F.col("slice") < 0, whole).otherwise(part).alias("key"), "band", "block", "times"))
 
     wanted = dealt.join(rows.select("node", "doc_id"), "node").groupBy("doc_id", "node", "h1", "h2").agg(F.collect_set("task").alias("tasks"))
     wanted = scratch.write(wanted)
-    sets = _sets_of(docs, wanted, width, doc_id, text).select("node", "data", F.inline("tasks"))
+    sets = _sets_of(docs, wanted, width, doc_id, text).select("node", "data", F.inline("tasks")).select("node", "data", "key.*", "band", "block", "times")
 
     def find_links(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("node").sort_values("node")
-        names = frame["node"].to_numpy()
-        label = link([np.frombuffer(x, "<u8") for x in frame["data"]], percent)
-        least = pd.Series(names).groupby(label).transform("min").to_numpy()
-        moved = least != names
-        return pd.DataFrame({"a": names[moved], "b": least[moved], "whole": np.full(int(moved.sum()), int(key[1]) < 0)})
+        names, bands, places = (frame[c].to_numpy() for c in ("node", "band", "block"))
+        _, piece, i, j = map(int, key)
 
-    links = scratch.write(sets.groupBy("g", "i", "j").applyInPandas(find_links, "a long, b long, whole boolean"))
-    linked = links.where("whole").select(F.col("a").alias("node"), F.col("b").alias("root"))
-    if links.where("not whole").limit(1).count():
-        linked = linked.unionByName(components(links.where("not whole").select("a", "b"), scratch).where("node <> root"))
+        def home(x: int, others: np.ndarray) -> np.ndarray:
+            """Of the tasks that a pair meets in, one settles it."""
+            low, high = np.minimum(places[others], places[x]), np.maximum(places[others], places[x])
+            return (np.minimum(bands[others], bands[x]) == piece) & (low == i) & (high == j)
 
-    classes = scratch.write(rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("node").alias("node"), F.min("doc_id").alias("least")).join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        label, links = link([np.frombuffer(x, "<u8") for x in frame["data"]], percent, home=home if piece >= 0 else None, times=frame["times"].to_numpy(np.int64))
+        least = pd.Series(names).groupby(label).transform("min").to_numpy()
+        return pd.DataFrame({"a": names, "b": least, "whole": np.full(len(names), piece < 0), "links": links})
+
+    found = scratch.write(sets.groupBy("g", "slice", "i", "j").applyInPandas(find_links, "a long, b long, whole boolean, links long"))
+    moved = found.where("a <> b")
+    linked = moved.where("whole").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if moved.where("not whole").limit(1).count():
+        linked = linked.unionByName(components(moved.where("not whole").select("a", "b"), scratch).where("node <> root"))
+    degrees = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    classes = scratch.write(classes.join(linked, "node", "left").join(degrees, "node", "left").withColumn("root", F.coalesce("root", "node")))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = classes.join(least, "root").select(F.col("n").alias("n2"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), "component_id")
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links")
+    known = classes.join(least, "root").select(F.col("n").alias("n2"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), "component_id", n_links)
     out = rows.join(known, (F.col("n") == F.col("n2")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **args) -> DataFrame:

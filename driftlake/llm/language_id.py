@@ -34,6 +34,8 @@ from ._common import Scratch, held, trim, words_of
 
 #: Tokens, and numbers of their tables, that a worker keeps; code points scored at a time.
 KEPT, KEPT_NUMBERS, CHUNK = 250_000, 4_000_000, 2 << 20
+#: Labels that are broadcast; more are joined.
+MOST_LABELS = 100_000
 #: Multiplier of the n-gram hash, odd.
 STEP = np.uint64(0x9E3779B97F4A7C15)
 EDGE = 0x110000
@@ -259,9 +261,11 @@ def sample(docs: DataFrame, most_chars: int, longest: int, doc_id: str, text: st
     """lang, text, calibrate: labelled rows up to about `most_chars` code points, shared evenly by the languages; one in eight is for calibration."""
     rows = docs.where(F.col(lang).isNotNull() & (F.char_length(text) <= longest)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.lit("language"), F.col(doc_id)), F.lit(1 << 30)).alias("h"))
     totals = rows.groupBy(F.col("lang").alias("l")).agg(F.sum(F.char_length("text")).alias("n"))
-    share = F.lit(float(most_chars)) / F.lit(float(max(1, totals.count())))
+    labels = totals.count()
+    share = F.lit(float(most_chars)) / F.lit(float(max(1, labels)))
     cuts = totals.select("l", (F.least(F.lit(1.0), share / F.greatest("n", F.lit(1))) * (1 << 30)).cast("long").alias("cut"))
-    kept = rows.join(cuts, F.col("lang") == F.col("l")).where(F.col("h") < F.col("cut"))
+    # a row for each label: texts are not moved for so few
+    kept = rows.join(F.broadcast(cuts) if labels <= MOST_LABELS else cuts, F.col("lang") == F.col("l")).where(F.col("h") < F.col("cut"))
     return kept.select("lang", "text", (F.pmod(F.xxhash64(F.lit("calibrate"), "h"), F.lit(8)) == 0).alias("calibrate"))
 
 
