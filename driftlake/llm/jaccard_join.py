@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ASCII_LOWER, Scratch, release, trim
+from ._common import ASCII_LOWER, Scratch, free, release, trim
 from .components import components
 from .lm_scoring import mix, packed, range_of, unpacked
 
@@ -332,7 +332,7 @@ def link(sets: list[np.ndarray], percent: int = 80, block: int = 64, home=None,
     return label, links
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, width: int, doc_id: str, text: str, most_bits: int = 1 << 31) -> DataFrame:
+def _sets_of(docs: DataFrame, wanted: DataFrame, width: int, doc_id: str, text: str, most_bits: int = 1 << 28) -> DataFrame:
     """wanted (doc_id, node, h1, h2, tasks) with data: the sets, made anew from the texts.
 
     A bit for each hash of a wanted doc_id tells workers which texts to make sets
@@ -455,5 +455,6 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, most_
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **args) -> DataFrame:
     """The rows of docs whose doc_id is their component's smallest; all columns stay. Rows with a null doc_id go if they are linked to one that has an id."""
-    found = jaccard_components(docs, doc_id=doc_id, text=text, **args).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(found, F.col(doc_id).eqNullSafe(F.col("__kept")), "left_semi")
+    kept = free(docs, "__kept")
+    found = jaccard_components(docs, doc_id=doc_id, text=text, **args).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct()
+    return docs.join(found, F.col(doc_id).eqNullSafe(F.col(kept)), "left_semi")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, ascii_lower
+from ._common import Scratch, ascii_lower, free
 
 SPACE = " \t\n\x0b\f\r"
 HASH = ("h1", "h2")
@@ -117,7 +117,7 @@ def marked(docs: DataFrame, least_docs: int, shortest: int, batch_bytes: int, do
 
 
 def dedup_lines(docs: DataFrame, least_docs: int = 10, shortest: int = 1, batch_bytes: int = 256 << 30, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with `text` less its repeated lines; all columns stay, and n_lines and n_dropped come in a struct `__lines`.
+    """docs with `text` less its repeated lines; all columns stay, and n_lines and n_dropped come in a struct `__lines` (a column of that name is replaced).
 
     A key (line without ASCII white space at its ends, A-Z lower-cased) of at
     least `shortest` code points that occurs in at least `least_docs` documents
@@ -126,14 +126,15 @@ def dedup_lines(docs: DataFrame, least_docs: int = 10, shortest: int = 1, batch_
     document for the count, and all of them lose the lines; rows with the same
     doc_id and other texts are other documents. Empty tables give no rows.
     """
+    key, bad = free(docs, "__key"), free(docs, "__bad")
     own = docs.withColumn("__lines", F.struct(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("th")))
-    bad = marked(docs, least_docs, shortest, batch_bytes, doc_id, text).select(F.struct("doc", "th").alias("__key"), F.col("bad").alias("__bad"))
-    both = own.join(bad, F.col("__lines")["doc"].eqNullSafe(F.col("__key")["doc"]) & (F.col("__lines")["th"] == F.col("__key")["th"]), "left")
+    found = marked(docs, least_docs, shortest, batch_bytes, doc_id, text).select(F.struct("doc", "th").alias(key), F.col("bad").alias(bad))
+    both = own.join(found, F.col("__lines")["doc"].eqNullSafe(F.col(key)["doc"]) & (F.col("__lines")["th"] == F.col(key)["th"]), "left")
     split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__bad")), lambda i: F.get(split, i))
-    whole = F.col("__bad").isNull()
-    stats = F.struct(F.size(split).cast("long").alias("n_lines"), F.coalesce(F.when(~whole, F.size("__bad")), F.lit(0)).cast("long").alias("n_dropped"))
-    return both.withColumn("__lines", stats).withColumn(text, F.when(whole, F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(kept, "\n"))).drop("__key", "__bad")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(bad)), lambda i: F.get(split, i))
+    whole = F.col(bad).isNull()
+    stats = F.struct(F.size(split).cast("long").alias("n_lines"), F.coalesce(F.when(~whole, F.size(bad)), F.lit(0)).cast("long").alias("n_dropped"))
+    return both.withColumn("__lines", stats).withColumn(text, F.when(whole, F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(kept, "\n"))).drop(key, bad)
 
 
 def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **args) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import WORD, Scratch
+from ._common import WORD, Scratch, free
 
 #: Bits of the hash, and bits by which a bucket is divided at each level.
 BITS, STEP = 60, 12
@@ -112,7 +112,8 @@ def taken(docs: DataFrame, **args) -> DataFrame:
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **args) -> DataFrame:
     """The mix itself: rows of docs, each as often as it is taken; all columns stay."""
     _, goals = mix(docs, doc_id=doc_id, text=text, source=source, **args)
-    goals = goals.select(F.struct(F.col("source").alias("s"), "rounds", "threshold").alias("__goal"))
-    both = docs.join(goals, F.col(source).eqNullSafe(F.col("__goal")["s"]))
-    n = F.col("__goal")["rounds"] + F.when(row_hash(F.col(doc_id), F.col(text)) < F.col("__goal")["threshold"], 1).otherwise(0)
-    return both.withColumn("__copy", F.explode(F.array_repeat(F.lit(True), n.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    goal, copy = free(docs, "__goal"), free(docs, "__copy")
+    goals = goals.select(F.struct(F.col("source").alias("s"), "rounds", "threshold").alias(goal))
+    both = docs.join(goals, F.col(source).eqNullSafe(F.col(goal)["s"]))
+    n = F.col(goal)["rounds"] + F.when(row_hash(F.col(doc_id), F.col(text)) < F.col(goal)["threshold"], 1).otherwise(0)
+    return both.withColumn(copy, F.explode(F.array_repeat(F.lit(True), n.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
