@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 from ._common import Scratch
 
 
-def _star(edges: DataFrame) -> DataFrame:
+def _star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-    low = large.groupBy("a").agg(F.min("b").alias("m"))
+    # tables joined to are written first: so Spark can split a node that has very many edges
+    least = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+    large = scratch.write(both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+    low = scratch.write(large.groupBy("a").agg(F.min("b").alias("m")))
     small = large.join(low, "a")
-    return small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    out = scratch.write(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+    for done in (least, large, low):
+        scratch.drop(done)
+    return out
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -27,7 +31,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while True:
         then = now
-        now = scratch.write(_star(then))
+        now = _star(then, scratch)
         # done when every node has one edge, and that to a node that has none
         state = now.groupBy("a").agg(F.count("*").alias("n"))
         loose = now.join(state.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count() + state.where("n > 1").limit(1).count()
