@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import time
 import uuid
 
 import numpy as np
@@ -114,9 +115,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def clean(spark: SparkSession) -> None:
-    """Lets Spark see which shuffled data nothing refers to any more; it removes them in the background."""
+    """Lets Spark see which shuffled data nothing refers to any more; it removes them in the background.
+
+    The last references go with the events of the job, a little after its end.
+    """
     gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
+    for _ in range(3):
+        time.sleep(1)
+        spark.sparkContext._jvm.java.lang.System.gc()
 
 
 class Scratch:

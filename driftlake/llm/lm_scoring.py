@@ -38,7 +38,7 @@ if TYPE_CHECKING:
 #: The end of a text, which no word can be, and the hashes of a start and of two.
 END, START, START2 = b"\n", np.uint64(0x5151515151515151), np.uint64(0x2E2E2E2E2E2E2E2E)
 #: Code points in a run; highest level; probes for each number; bits for each number held.
-CHUNK, LEVELS, PROBES, BITS = 6 << 20, 96, 6, 20.0
+CHUNK, LEVELS, PROBES, BITS = 9 << 20, 96, 6, 20.0
 #: Bits after its range by which a pair or triple is told.
 SHORT = 29
 #: Ratios of two shares are told apart by steps of an octave's sixteenth, from 2**-256 on.
@@ -249,9 +249,9 @@ def _runs(ranges: int):
 ANSWERS = "kind int, run long, range int, n long, total long, data binary"
 
 
-def _answers(bits_each: float):
+def _answers(bits_each: float, keep: bool):
     def run(key, runs: pd.DataFrame) -> pd.DataFrame:
-        """The range's block (run -1; of words none) and, for each run, counts of its words or levels of its pairs or triples."""
+        """The range's sums and, to keep, its block (run -1; of words none); for each run, counts of its words or levels of its pairs or triples."""
         kind, exact = int(key[0]), int(key[0]) == WORD
         keys = [np.cumsum(unpacked(x, "<u8" if exact else "<u4").astype(np.uint64)) for x in runs["keys"]]
         every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
@@ -262,7 +262,7 @@ def _answers(bits_each: float):
             answer, block = total, None
         else:
             made = Block.of(every[seen], level_of(total[seen].astype(np.float64)), bits_each)
-            answer, block = made.levels(every), made.data.tobytes()
+            answer, block = made.levels(every), made.data.tobytes() if keep else None
         rows.append((kind, -1, int(key[1]), int(seen.sum()), int(total.sum()), block))
         at = 0
         for number, k in zip(runs["run"], keys, strict=True):
@@ -368,7 +368,7 @@ def _parts(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[dict]:
         yield batch.slice(a, b - a).to_pydict()
 
 
-def score(docs: DataFrame, in_range: int = 2_000_000, bits_each: float = BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, in_range: int = 2_000_000, bits_each: float = BITS, model: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Learns from rows whose crc32(doc_id) mod 10 is not 0 (a null id counts as
@@ -377,7 +377,8 @@ def score(docs: DataFrame, in_range: int = 2_000_000, bits_each: float = BITS, d
     read; an empty table gives no rows. n_known and base_score are exact; the
     model's pairs and triples come from a filter, all of them, seen once too.
     `in_range` is about how many tokens a hash range has, `bits_each` the filter's
-    bits for each number it holds.
+    bits for each number it holds; with `model`, a path, the filter's blocks are
+    written there (kind, range, n, total, data).
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
@@ -385,10 +386,12 @@ def score(docs: DataFrame, in_range: int = 2_000_000, bits_each: float = BITS, d
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = 1 << max(4, int(size / 6 / in_range).bit_length())
     runs = scratch.write(slim.mapInArrow(_texts, TEXTS))
-    answers = scratch.write(runs.mapInArrow(_runs(ranges), RUNS).groupBy("kind", "range").applyInPandas(_answers(bits_each), ANSWERS))
+    answers = scratch.write(runs.mapInArrow(_runs(ranges), RUNS).groupBy("kind", "range").applyInPandas(_answers(bits_each, model is not None), ANSWERS))
     clean(spark)  # what was shuffled for the answers
     made = answers.where(F.col("run") < 0)
     total, different = made.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if model:
+        made.where(F.col("kind") != WORD).select("kind", "range", "n", "total", "data").write.parquet(model)
     divisor = total + 0.1 * (different + 1)
     texts = slim.where(~F.col("held")).count()
 

@@ -194,6 +194,13 @@ def test_word_levels():
     assert lm_scoring.WORD_VALUES[0] == 0 and len(lm_scoring.WORD_VALUES) <= 256 and lm_scoring.WORD_LEAST[-1] > 1e9
 
 
+def test_model_is_written(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lm_scoring.score(docs, model=str(tmp_path / "m"))
+    blocks = spark.read.parquet(str(tmp_path / "m")).collect()
+    assert {r["kind"] for r in blocks} == {lm_scoring.PAIR, lm_scoring.TRIPLE} and all(len(r["data"]) > 0 for r in blocks)
+
+
 def test_no_training(spark, empty):
     assert lm_scoring.score(empty).count() == 0
     held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0)
