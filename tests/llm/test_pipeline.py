@@ -58,11 +58,11 @@ def test_stages_against_brute_force(spark):
     rng = random.Random(7)
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120).collect()
     rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in docs]
-    hot = max((r["text"] for r in docs), key=lambda x: min(len(x), 4000))[:4000]
-    for i in range(60):
+    hot = max((r["text"] for r in docs), key=lambda x: min(len(x), 4000))[:4000].replace("\n", " ")
+    for i in range(60):  # one line, so few equal ones that it stays
         words = hot.split(" ")
-        if i % 3:
-            words[rng.randrange(len(words))] = "changed"
+        if i > 6:
+            words[rng.randrange(len(words))] = f"changed{i}"
         rows.append((10_000 + i, " ".join(words) + "\nshared line\nShared Line ", "en", rng.choice(["web", None]), None))
     rows += [(20_000, None, None, None, None), (20_001, "", "en", "web", 0), (20_002, "123 !", "en", "web", 5)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
