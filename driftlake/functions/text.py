@@ -52,7 +52,18 @@ def retry_wait(attempt: Column, most: int = 30) -> Column:
     return F.least(attempt * 5, F.lit(most))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """With so many digits, as Python and C print it: the number's exact value is rounded, halves to even (the JVM's `%.2f` rounds
+    the shortest decimal that stands for it, halves up). The fraction is printed by itself, so long numbers keep all digits; from 2**63
+    on those after the 17th are zeros."""
+    size = F.abs(x)
+    whole = F.floor(size)
+    rest = F.call_function("format_number", size - whole, F.lit("0." + "0" * digits))  # begins with 1 where it rounds up to a whole
+    exact = F.concat((whole + F.substring(rest, 1, 1).cast("long")).cast("string"), F.substring(rest, 2, digits + 1))
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    return F.concat(sign, F.when(size < 2.0**63, exact).otherwise(F.format_string(f"%.{digits}f", size)))
+
+
 def shown_bytes(n: Column) -> Column:
     """Megabytes below a thousand of them, else gigabytes, with a digit or two."""
-    big = n >= 1e9
-    return F.when(big, F.concat(F.format_string("%.2f", n / 1e9), F.lit(" GB"))).otherwise(F.concat(F.format_string("%.1f", n / 1e6), F.lit(" MB")))
+    return F.when(n >= 1e9, F.concat(fixed(n / 1e9, 2), F.lit(" GB"))).otherwise(F.concat(fixed(n / 1e6, 1), F.lit(" MB")))

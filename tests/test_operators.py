@@ -172,6 +172,12 @@ def test_text(spark):
     assert [r[0] for r in rows.select(tx.strip_version(F.col("s"))).collect()] == ["PF10417", "PF10417", "PF1"]
 
 
+def test_fixed_digits_as_python_prints_them(spark):
+    xs = [0.0, -0.0, 0.125, 0.375, 1.005, 2.675, -0.004, -0.125, 0.995, 0.999, 9.996, 99.995, 1e-300, 123456789012345.67, 2.0**52 - 0.5, 2.0**53 + 2, 2.0**63 - 1024, -(2.0**62)]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", *(tx.fixed(F.col("x"), d).alias(str(d)) for d in (1, 2))).collect()
+    assert [(r["1"], r["2"]) for r in rows] == [(f"{r['x']:.1f}", f"{r['x']:.2f}") for r in rows] and len(rows) == len(xs)
+
+
 def test_masked_mean(spark):
     rows = spark.createDataFrame([([1.0, 3.0], [1.0, 0.0]), ([1.0, 3.0], [0.0, 0.0])], "v array<double>, m array<double>")
     assert [r[0] for r in rows.select(masked_mean(F.col("v"), F.col("m"))).collect()] == [1.0, 0.0]
