@@ -61,7 +61,7 @@ def fixed(x: Column, digits: int) -> Column:
     rest = F.call_function("format_number", size - whole, F.lit("0." + "0" * digits))  # begins with 1 where it rounds up to a whole
     exact = F.concat((whole + F.substring(rest, 1, 1).cast("long")).cast("string"), F.substring(rest, 2, digits + 1))
     sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
-    return F.concat(sign, F.when(size < 2.0**63, exact).otherwise(F.format_string(f"%.{digits}f", size)))
+    return F.concat(sign, F.when(size < 2.0**63, exact).when(size >= 2.0**63, F.format_string(f"%.{digits}f", size)))  # null: null
 
 
 def shown_bytes(n: Column) -> Column:

@@ -50,3 +50,7 @@ def test_byte_display_any_key(spark, tmp_path):
         """SELECT CAST(hash(i) >> (i % 60 + 1) AS BIGINT) * CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END AS o_orderkey FROM range(6000) t(i)
         UNION ALL SELECT 9223372036854775807 UNION ALL SELECT -9223372036854775808 UNION ALL SELECT 4990 + i FROM range(20) t(i) UNION ALL SELECT 4999999970 + i FROM range(60) t(i)""",
     )
+
+
+def test_byte_display_null_key(spark, tmp_path):
+    _display_against_sql(spark, tmp_path, "SELECT CASE WHEN i % 3 <> 0 THEN i * 1700 END AS o_orderkey FROM range(9) t(i)")
